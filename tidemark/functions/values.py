@@ -60,3 +60,8 @@ def when_first(*cases: tuple[Column, object], default: object = None) -> Column:
         v = val if isinstance(val, Column) else F.lit(val)
         out = F.when(cond, v) if out is None else out.when(cond, v)
     return out if default is None else out.otherwise(default if isinstance(default, Column) else F.lit(default))
+
+
+def cents(x: Column) -> Column:
+    """To whole cents, halves up, by plain arithmetic: the same in any engine."""
+    return F.floor(x * 100.0 + 0.5) / 100.0
