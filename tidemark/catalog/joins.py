@@ -22,7 +22,7 @@ def exchanges(spark, sf):
 
 
 PAIRS_SQL = """
-pairs AS (SELECT l_partkey AS token, l_suppkey AS pos, round(sum(l_extendedprice * l_discount) + 0.0::DOUBLE, 4) AS liquidity,
+pairs AS (SELECT l_partkey AS token, l_suppkey AS pos, round(sum(l_extendedprice * l_discount) + 0.0::DOUBLE, 4) * 20 AS liquidity,
         round(sum(l_extendedprice), 2) AS volume, max(l_shipdate) AS created_at FROM lineitem GROUP BY 1, 2),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY coalesce(liquidity, 0) DESC, pos) AS rn
         FROM pairs) WHERE rn = 1)"""
@@ -32,7 +32,7 @@ def pairs(spark, sf):
     """A pair is a token (part) traded on a pool (supplier)."""
     li = b.table(spark, sf, "lineitem")
     return li.groupBy(F.col("l_partkey").alias("token"), F.col("l_suppkey").alias("pos")).agg(
-        F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")) + 0.0, 4).alias("liquidity"),
+        (F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")) + 0.0, 4) * 20).alias("liquidity"),
         F.round(F.sum("l_extendedprice"), 2).alias("volume"), F.max("l_shipdate").alias("created_at"))
 
 

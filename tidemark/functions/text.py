@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -59,9 +60,14 @@ def contains_any(text: Column, words: Sequence[str], whole_words: bool = False)
     return out
 
 
+def filled(template: str, x: Column) -> Column:
+    """A number put into a printf template; a fixed number of decimals rounds ties to even."""
+    digits = re.search(r"%[+]?\.(\d)f", template)
+    return F.format_string(template, F.bround(x.cast("double"), int(digits[1])) if digits else x)
+
+
 def whole(x: Column) -> Column:
-    """A number without decimals, ties to even."""
-    return F.format_string("%.0f", F.bround(x.cast("double"), 0))
+    return filled("%.0f", x)
 
 
 def thousands(x: Column) -> Column:
@@ -77,7 +83,7 @@ def usd_k(x: Column) -> Column:
 
 
 def signed_pct(x: Column) -> Column:
-    return F.format_string("%+.1f%%", x)
+    return filled("%+.1f%%", x)
 
 
 def short_address(a: Column, n: int = 12) -> Column:
