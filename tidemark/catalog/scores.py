@@ -202,7 +202,8 @@ def daily_watchlist(spark, sf):
 
 # --- wallet-token scores -----------------------------------------------------------------------------
 
-ENRICHED_SQL = with_(b.TRADES_SQL, PAIRS_SQL, HELD_SQL, """
+POOL_HELD_SQL = HELD_SQL.replace("SELECT token, wallet", "SELECT pool AS token, wallet")
+ENRICHED_SQL = with_(b.TRADES_SQL, PAIRS_SQL, POOL_HELD_SQL, """
 conf AS (SELECT token, count(DISTINCT wallet) AS confirmations, count(*) AS buys FROM t
       WHERE ts >= TIMESTAMP '2001-05-01' AND side = 'buy' GROUP BY token)""", """
 dist AS (SELECT token, sum(balance) FILTER (rn <= 10) / sum(balance) * 100 AS top10_pct
@@ -229,17 +230,17 @@ s4 AS (SELECT *, CASE WHEN why <> '' THEN CASE WHEN composite >= 70 AND confirma
 
 
 def scored_tokens(spark, sf):
-    t = b.trades(spark, sf, wallets=True)
+    # holder shares come from the pool of the token's number; tokens without one have none
+    pool = b.trades(spark, sf, token="l_suppkey", wallets=True)
 
     def flag(m):
         i = (m + 1).cast("int")
         return F.element_at(F.array(F.lit(True), F.lit(False), F.lit(None).cast("boolean")), i)
 
-    k = F.col("token")
     security = b.table(spark, sf, "part").select(
         F.col("p_partkey").alias("token"), flag(F.col("p_partkey") % 3).alias("mint_authority"),
         flag(F.col("p_partkey") % 5 % 3).alias("freeze_authority"), flag(F.col("p_partkey") % 7 % 3).alias("lp_locked"))
-    return wallet_scan.scan(recent_trades(spark, sf), pairs(spark, sf), wa.holder_distribution(t).select(k, "top10_pct"), security,
+    return wallet_scan.scan(recent_trades(spark, sf), pairs(spark, sf), wa.holder_distribution(pool).select("token", "top10_pct"), security,
                             F.lit(b.AS_OF[:10]).cast("date"))
 
 

@@ -48,17 +48,21 @@ def in_slice(keys: list[str], order: list[str]) -> WindowSpec:
     return W.partitionBy(*keys, SLICE).orderBy(*order)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
-    """Inclusive running sum of ``value`` per key in ``order``."""
-    rows = inherit(df.withColumn("_v", value), keys, {"_s": F.sum("_v")},
-                   lambda per, before: per.withColumn("_carry", F.coalesce(F.sum("_s").over(before), F.lit(0))), ["_carry"])
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums per key in ``order``, one column per entry of ``values``."""
+    src = df.withColumns({f"_v_{n}": v for n, v in values.items()})
+    rows = inherit(src, keys, {f"_c_{n}": F.sum(f"_v_{n}") for n in values},
+                   lambda per, before: per.withColumns(
+                       {f"_c_{n}": F.coalesce(F.sum(f"_c_{n}").over(before), F.lit(0)) for n in values}),
+                   [f"_c_{n}" for n in values])
     w = in_slice(keys, order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn(out, F.col("_carry") + F.sum("_v").over(w)).drop("_v", "_carry")
+    return (rows.withColumns({n: F.col(f"_c_{n}") + F.sum(f"_v_{n}").over(w) for n in values})
+            .drop(*[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values]))
 
 
 def row_index(df: DataFrame, keys: list[str], order: list[str], out: str = "idx") -> DataFrame:
     """1-based position of each row within its key."""
-    return running_sum(df, keys, order, F.lit(1).cast("bigint"), out)
+    return running_sums(df, keys, order, {out: F.lit(1).cast("bigint")})
 
 
 def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
