@@ -17,9 +17,9 @@ up AS (SELECT user_id AS agent, ts, event_id, CASE event_type WHEN 'view' THEN '
         WHEN 'error' THEN 'error' ELSE 'offline' END AS status FROM events),
 latest AS (SELECT agent, arg_max(status, (ts, event_id)) AS status, max(ts) AS last_heartbeat, max(ts) FILTER (status = 'working') AS last_activity
       FROM up GROUP BY agent),
-health AS (SELECT *, (epoch(TIMESTAMP '2024-01-30 23:58:00')::BIGINT - epoch_ms(last_heartbeat) // 1000) / 60 AS minutes,
-        CASE WHEN (epoch(TIMESTAMP '2024-01-30 23:58:00')::BIGINT - epoch_ms(last_heartbeat) // 1000) / 60 > 5 THEN 'stale'
-             WHEN (epoch(TIMESTAMP '2024-01-30 23:58:00')::BIGINT - epoch_ms(last_heartbeat) // 1000) / 60 > 2 THEN 'warning' ELSE 'healthy' END AS health FROM latest)"""
+health AS (SELECT *, (epoch(TIMESTAMP '2024-01-30 23:58:00')::BIGINT - epoch_us(last_heartbeat) // 1000000) / 60 AS minutes,
+        CASE WHEN (epoch(TIMESTAMP '2024-01-30 23:58:00')::BIGINT - epoch_us(last_heartbeat) // 1000000) / 60 > 5 THEN 'stale'
+             WHEN (epoch(TIMESTAMP '2024-01-30 23:58:00')::BIGINT - epoch_us(last_heartbeat) // 1000000) / 60 > 2 THEN 'warning' ELSE 'healthy' END AS health FROM latest)"""
 
 
 def updates(spark, sf):

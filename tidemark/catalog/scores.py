@@ -353,7 +353,7 @@ TRIAGE_WORDS = ("paux", "the", "est", "der")
 
 @query("message_triage", """
 WITH m AS (SELECT event_id AS id, event_type || ' ' || (['payment failed', 'weekly meeting', 'hello', 'invoice due', 'Security Alert'])[(user_id % 5 + 1)::INT]
-    AS subject, 'user' || user_id AS sender, ts FROM events WHERE epoch(TIMESTAMP '2024-01-30 23:00:00') - epoch_ms(ts) // 1000 <= 1800 * 48),
+    AS subject, 'user' || user_id AS sender, ts FROM events WHERE epoch(TIMESTAMP '2024-01-30 23:00:00') - epoch_us(ts) // 1000000 <= 1800 * 48),
 c AS (SELECT *, CASE WHEN regexp_matches(subject || ' ' || sender, '(?i)payment failed|security alert|suspicious|unauthorized|expired|expiring|overdue|declined|blocked')
     THEN 'urgent' WHEN regexp_matches(subject || ' ' || sender, '(?i)meeting|appointment|reminder|subscription|renewal|invoice|deadline|scheduled') THEN 'heads_up' END AS level FROM m)
 SELECT id, subject, sender, level FROM c WHERE level = 'urgent' UNION ALL

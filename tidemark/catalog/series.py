@@ -246,7 +246,7 @@ def threshold_hysteresis(spark, sf):
 
 
 @query("cooldown", with_("""
-c AS (SELECT user_id, epoch_ms(ts) // 1000 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 1000) AS k
+c AS (SELECT user_id, epoch_us(ts) // 1000000 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000) AS k
       FROM (SELECT DISTINCT user_id, date_trunc('second', ts) AS ts FROM events WHERE event_type = 'error')),
 nxt AS (SELECT a.user_id, a.k, min(b.k) AS nk FROM c a LEFT JOIN c b ON b.user_id = a.user_id AND b.sec >= a.sec + 259200
       GROUP BY a.user_id, a.k),

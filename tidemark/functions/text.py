@@ -63,7 +63,10 @@ def contains_any(text: Column, words: Sequence[str], whole_words: bool = False)
 def filled(template: str, x: Column) -> Column:
     """A number put into a printf template; a fixed number of decimals rounds ties to even."""
     digits = re.search(r"%[+]?\.(\d)f", template)
-    return F.format_string(template, F.bround(x.cast("double"), int(digits[1])) if digits else x)
+    if not digits:
+        return F.format_string(template, x)
+    r = F.bround(x.cast("double"), int(digits[1]))
+    return F.format_string(template, F.when((x < 0) & (r == 0), F.lit(-0.0)).otherwise(r))
 
 
 def whole(x: Column) -> Column:
