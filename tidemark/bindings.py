@@ -6,6 +6,8 @@ partitions are added up and downstream thresholds are reproducible.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,24 @@ SUPPLY_FROM = "2000-06-01 00:00:00"
 DAY_3 = 259_200
 
 
+# Tables that grow, with the column their rows are spread by when a file has fewer splits than there are cores.
+SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
+
+_TABLES: WeakKeyDictionary = WeakKeyDictionary()  # lazy frames per session; saves listing the same files again
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table. One that comes as a few large splits is spread over the cores right after the scan.
+
+    At scale a table has far more splits than cores and is read as it is, without this shuffle.
+    """
+    known = _TABLES.setdefault(spark, {})
+    path = f"{sf}/{name}.parquet"
+    if path not in known:
+        df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+        few = name in SPREAD and df.rdd.getNumPartitions() * 2 <= cores
+        known[path] = df.repartition(cores, SPREAD[name]) if few else df
+    return known[path]
 
 
 def trades(spark: SparkSession, sf: str, token: str = "l_partkey", wallets: bool = False,

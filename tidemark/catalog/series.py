@@ -13,8 +13,6 @@ from tidemark.operators import monitors as mon
 from tidemark.operators import sliced
 from tidemark.plans import pattern_scan
 
-YEAR = 365 * 86_400
-
 
 def pool_trades(spark, sf):
     return b.trades(spark, sf, token="l_suppkey")
@@ -178,7 +176,7 @@ def close_checks(spark, sf):
     w = W.partitionBy("token").orderBy("bucket")
     c = pool_candles(spark, sf).select("token", "bucket", F.col("c").alias("price"))
     c = c.withColumn("ema", cd.trailing_ema(F.col("price"), w, 60, fixed.EMA_LEN)).filter(F.col("ema").isNotNull())
-    return sliced.slice_time(c.withColumn("above", F.col("price") > F.col("ema")), "bucket", YEAR)
+    return c.withColumn("above", F.col("price") > F.col("ema"))
 
 
 @query("ema_cross_events", with_(BARS, MON_SQL) + """

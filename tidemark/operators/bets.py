@@ -27,18 +27,20 @@ def evaluate(markets: DataFrame) -> DataFrame:
     m = m.filter(~(F.col("is_extreme") & flagged) & (edge >= fixed.MIN_EDGE)
                  & ~(F.col("is_extreme") & (edge < fixed.MIN_EDGE_EXTREME)))
     yes = F.col("signed_edge") > 0
-    win = F.when(yes, p).otherwise(1 - p)
-    stake = F.when(yes, price).otherwise(1 - price)
-    odds = F.when(stake > 0, (1 - stake) / stake).otherwise(0.0)
-    fraction = F.try_divide(win * odds - (1 - win), odds)
-    kelly = F.when(odds > 0, clamp(fixed.MAX_POSITION * fraction * fixed.KELLY_SHARE, fixed.MIN_POSITION, fixed.MAX_POSITION)) \
-             .otherwise(fixed.MAX_POSITION * 0.1)
-    kelly = F.when(F.col("is_extreme"), F.least(kelly, F.lit(fixed.MAX_POSITION_EXTREME))).otherwise(kelly)
-    size = F.greatest(F.lit(fixed.MIN_POSITION), F.least(kelly, fixed.MAX_POSITION * edge * F.col("confidence")))
-    warn = F.when((p < fixed.LONGSHOT) & (F.col("signed_edge") > 0.05), F.lit(fixed.LONGSHOT_WARNING))
-    return m.select("id", F.when(yes, "YES").otherwise("NO").alias("side"), stake.alias("current_price"), win.alias("target_price"),
-                    edge.alias("edge"), "confidence", "probability", "is_extreme", cents(size).alias("amount"),
-                    warn.alias("warning"), F.when(odds > 0, fraction).otherwise(0.0).alias("kelly_fraction"))
+    # one step per column: each is used several times below, and would be repeated if written inline
+    m = m.select("id", "research", p.alias("probability"), "confidence", "is_extreme", "signed_edge", edge.alias("edge"),
+                 F.when(yes, p).otherwise(1 - p).alias("win"), F.when(yes, price).otherwise(1 - price).alias("stake"))
+    win, stake, odds, fraction, kelly = (F.col(c) for c in ("win", "stake", "odds", "fraction", "kelly"))
+    m = m.withColumn("odds", F.when(stake > 0, (1 - stake) / stake).otherwise(0.0))
+    m = m.withColumn("fraction", F.when(odds > 0, (win * odds - (1 - win)) / odds))
+    m = m.withColumn("kelly", F.when(odds > 0, clamp(fixed.MAX_POSITION * fraction * fixed.KELLY_SHARE, fixed.MIN_POSITION, fixed.MAX_POSITION))
+                     .otherwise(fixed.MAX_POSITION * 0.1))
+    capped = F.when(F.col("is_extreme"), F.least(kelly, F.lit(fixed.MAX_POSITION_EXTREME))).otherwise(kelly)
+    size = F.greatest(F.lit(fixed.MIN_POSITION), F.least(capped, fixed.MAX_POSITION * F.col("edge") * F.col("confidence")))
+    warn = F.when((F.col("probability") < fixed.LONGSHOT) & (F.col("signed_edge") > 0.05), F.lit(fixed.LONGSHOT_WARNING))
+    return m.select("id", F.when(F.col("signed_edge") > 0, "YES").otherwise("NO").alias("side"), stake.alias("current_price"),
+                    win.alias("target_price"), "edge", "confidence", "probability", "is_extreme", cents(size).alias("amount"),
+                    warn.alias("warning"), F.coalesce(fraction, F.lit(0.0)).alias("kelly_fraction"))
 
 
 def simple_edge(markets: DataFrame, top: int = 5, min_volume: float = 500_000) -> DataFrame:

@@ -1,6 +1,6 @@
 """Stateful monitors over ordered checks: crossings, run lengths, bands, drops and alert cooldowns.
 
-Inputs carry a slice column (see ``sliced``); none of these puts all checks of a key into one task.
+Inputs with many rows per key carry a slice column (see ``sliced``), so that no task gets all checks of a key.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def cross_events(checks: DataFrame, keys: list[str], order: list[str], above: st
 
 def run_counters(checks: DataFrame, keys: list[str], order: list[str], above: str = "above") -> DataFrame:
     """Consecutive checks above / below the average, up to and including each check."""
-    numbered = checks.withColumn("_r", F.row_number().over(sliced.in_slice(keys, order)).cast("bigint"))
+    numbered = checks.withColumn("_r", F.row_number().over(sliced.in_slice(checks, keys, order)).cast("bigint"))
     up, down = F.when(F.col(above), F.col("_r")), F.when(~F.col(above), F.col("_r"))
 
     def scan(per, before):
@@ -37,11 +37,12 @@ def run_counters(checks: DataFrame, keys: list[str], order: list[str], above: st
 
     rows = sliced.inherit(numbered, keys, {"_n": F.count(F.lit(1)), "_last_up": F.max(up), "_last_down": F.max(down)},
                           scan, ["_base", "_up0", "_down0"])
-    so_far = sliced.in_slice(keys, order).rowsBetween(W.unboundedPreceding, 0)
-    base, zero = F.col("_base"), F.lit(0)
-    return (rows.withColumn("idx", base + F.col("_r"))
-            .withColumn("above_count", F.col("idx") - F.coalesce(base + F.max(down).over(so_far), F.col("_down0"), zero))
-            .withColumn("below_count", F.col("idx") - F.coalesce(base + F.max(up).over(so_far), F.col("_up0"), zero))
+    so_far = sliced.in_slice(checks, keys, order).rowsBetween(W.unboundedPreceding, 0)
+    base, zero = F.coalesce(F.col("_base"), F.lit(0)), F.lit(0)
+    last_down = F.coalesce(base + F.max(down).over(so_far), F.col("_down0"), zero)
+    last_up = F.coalesce(base + F.max(up).over(so_far), F.col("_up0"), zero)
+    idx = base + F.col("_r")
+    return (rows.withColumns({"idx": idx, "above_count": idx - last_down, "below_count": idx - last_up})
             .drop("_r", "_base", "_up0", "_down0"))
 
 

@@ -21,12 +21,11 @@ def _points(rules: list[ru.Rule], passes: float) -> tuple[Column, Column]:
 
 def _engines(df: DataFrame, a, b, c) -> DataFrame:
     """Add score and verdict per engine, the list of engines that fired and the total."""
-    out = df
-    for name, (score, ok) in zip("abc", (a, b, c)):
-        out = out.withColumn(f"score_{name}", score).withColumn(f"engine_{name}", ok)
-    fired = F.array_compact(F.array(*[F.when(F.col(f"engine_{n}"), F.lit(n.upper())) for n in "abc"]))
-    return (out.withColumn("engines", F.array_join(fired, ","))
-            .withColumn("total", F.col("score_a") + F.col("score_b") + F.col("score_c")))
+    named = dict(zip("abc", (a, b, c)))
+    fired = F.concat_ws(",", *[F.when(ok, F.lit(n.upper())) for n, (_, ok) in named.items()])
+    return df.withColumns({**{f"score_{n}": score for n, (score, _) in named.items()},
+                           **{f"engine_{n}": ok for n, (_, ok) in named.items()},
+                           "engines": fired, "total": a[0] + b[0] + c[0]})
 
 
 def scan_engines(df: DataFrame, prices: str = "prices") -> DataFrame:
@@ -103,13 +102,11 @@ def daily_engines(df: DataFrame) -> DataFrame:
     Chart features that are missing take the values that make no rule apply.
     """
     neutral = {"price_vs_high": 1.0, "ath_drawdown": 0.0, "touches": 0, "rejections": 0, "riding": False, "volume_trend": "neutral"}
-    for c, v in neutral.items():
-        df = df.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v))
+    have = set(df.columns)
+    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in have else F.lit(v) for c, v in neutral.items()})
     a, b, c = daily_a(), daily_b(), daily_c()
     out = _engines(df, _points(a, 0.5), _points(b, 0.6), _points(c, 0.7))
-    for name, rules in zip("abc", (a, b, c)):
-        out = out.withColumn(f"reason_{name}", ru.notes(rules, " | ", fixed.NO_DATA))
-    return out
+    return out.withColumns({f"reason_{n}": ru.notes(rules, " | ", fixed.NO_DATA) for n, rules in zip("abc", (a, b, c))})
 
 
 # --- wallet-token scores -----------------------------------------------------------------------------
@@ -171,17 +168,16 @@ def strategy_gates(df: DataFrame) -> DataFrame:
     strong = (F.col("composite") >= 70) & (F.col("confirmations") >= 2)
     failed = F.size("_why") > 0
     status = (F.when(failed & strong, "WATCH").when(failed, "REJECT").when(F.col("composite") >= 60, "PASS").otherwise("WATCH"))
-    return (df.withColumn("_why", why).withColumn("status", status)
-            .withColumn("reject_reasons", F.when(~failed & (F.col("composite") < 60), F.array(F.lit("LOW_COMPOSITE"))).otherwise(F.col("_why")))
+    low = F.array(F.lit("LOW_COMPOSITE"))
+    return (df.withColumn("_why", why)
+            .withColumns({"status": status, "reject_reasons": F.when(~failed & (F.col("composite") < 60), low).otherwise(F.col("_why"))})
             .drop("_why"))
 
 
 def score_wallet_tokens(enriched: DataFrame) -> DataFrame:
     (a, an), (b, bn), (c, cn, risk) = whale_a(), whale_b(), whale_c()
-    s = (enriched.withColumn("a_score", a).withColumn("a_notes", an).withColumn("b_score", b).withColumn("b_notes", bn)
-         .withColumn("c_score", c).withColumn("c_notes", cn).withColumn("risk", risk)
-         .withColumn("composite", composite(F.col("a_score"), F.col("b_score"), F.col("c_score"))))
-    return strategy_gates(s)
+    s = enriched.withColumns({"a_score": a, "a_notes": an, "b_score": b, "b_notes": bn, "c_score": c, "c_notes": cn, "risk": risk})
+    return strategy_gates(s.withColumn("composite", composite(F.col("a_score"), F.col("b_score"), F.col("c_score"))))
 
 
 def unified_alerts(merged: DataFrame) -> DataFrame:
@@ -236,29 +232,24 @@ def message_triage(messages: DataFrame, as_of_seconds: Column, minutes: int = 30
     return m.filter("level = 'urgent'").select("id", "subject", "sender", "ts", "level").unionByName(first)
 
 
-def launch_momentum(df: DataFrame, parts: list[str]) -> DataFrame:
-    """0-100 score: the mean percent rank of each component over the whole table.
+def launch_momentum(df: DataFrame, parts: list[str], key: str = "token") -> DataFrame:
+    """0-100 score: the mean percent rank of the components over the whole table.
 
-    A rank over the whole table as a window would be one task, so each component's distinct values are
-    counted first, and the running counts are taken over the (far smaller) value table in value ranges.
+    A rank over the whole table as a window would be one task. The components are stacked, their distinct
+    values counted, and each value placed in one of a few thousand ordered slices (by exponent and leading
+    digits); rows below a value are those of the lower slices plus the lower values of its own slice.
     """
-    out = df
-    for p in parts:
-        out = out.join(_percent_rank(df, p), p, "left")
-    mean = sum((F.col(f"_pr_{p}") for p in parts), F.lit(0.0)) / len(parts) * 100
-    return out.withColumn("score", mean).drop(*[f"_pr_{p}" for p in parts])
-
-
-def _percent_rank(df: DataFrame, c: str) -> DataFrame:
-    # Sliced by value: the exponent and leading digits of the value place it in one of a few thousand
-    # ordered slices, so neither step sees all values in one task.
-    slice_ = F.when(F.col(c) == 0, F.lit(0)).otherwise(
-        F.signum(F.col(c)) * (F.floor(F.log2(F.abs(F.col(c).cast("double"))) * 64) + 100_000)).cast("bigint")
-    v = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", slice_)
-    per = v.groupBy("_s").agg(F.sum("_n").alias("_sn"))
-    below = per.select("_s", F.coalesce(F.sum("_sn").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"),
-                       F.sum("_sn").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_t"))
-    w = W.partitionBy("_s").orderBy(c).rowsBetween(W.unboundedPreceding, -1)
-    rank = F.col("_b") + F.coalesce(F.sum("_n").over(w), F.lit(0))
-    pr = F.when(F.col("_t") > 1, rank / (F.col("_t") - 1)).otherwise(0.0)
-    return v.join(below, "_s").select(c, pr.alias(f"_pr_{c}"))
+    x = F.col("x")
+    slice_ = F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x)) * 64) + 100_000)).cast("bigint")
+    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).cast("double").alias("x")) for p in parts])).alias("c"))
+    long = long.select(key, "c.part", "c.x").filter(x.isNotNull())
+    values = long.groupBy("part", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("s", slice_)
+    below_slice = W.partitionBy("part").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    slices = values.groupBy("part", "s").agg(F.sum("n").alias("sn"))
+    slices = slices.select("part", "s", F.coalesce(F.sum("sn").over(below_slice), F.lit(0)).alias("below"),
+                           F.sum("sn").over(W.partitionBy("part")).alias("all"))
+    in_slice = W.partitionBy("part", "s").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    rank = F.col("below") + F.coalesce(F.sum("n").over(in_slice), F.lit(0))
+    pr = F.when(F.col("all") > 1, rank / (F.col("all") - 1)).otherwise(0.0)
+    ranks = values.join(slices, ["part", "s"]).select("part", "x", pr.alias("pr"))
+    return long.join(ranks, ["part", "x"]).groupBy(key).agg((F.sum("pr") / len(parts) * 100).alias("score"))

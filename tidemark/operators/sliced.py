@@ -5,6 +5,9 @@ is cut into time slices. The slices are summarised with an ordinary (map-side co
 few summaries of a key are scanned in order, and what each slice inherits from its predecessors is joined
 back. Windows over the rows then run per (key, slice). Summaries number at most
 ``time span / slice length`` per key, however many rows the key has.
+
+A frame without a slice column is computed with plain windows per key. That is for series whose rows per key
+are bounded by time already, such as candles.
 """
 
 from __future__ import annotations
@@ -39,24 +42,26 @@ def inherit(df: DataFrame, keys: list[str], summary: dict[str, Column],
     ``summary`` aggregates a slice; ``scan`` turns the summaries into the inherited columns ``names``, given
     the window of all earlier slices.
     """
+    if SLICE not in df.columns:
+        return df.withColumns({n: F.lit(None) for n in names})
     per_slice = df.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in summary.items()])
     before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     return df.join(scan(per_slice, before).select(*keys, SLICE, *names), [*keys, SLICE], "left")
 
 
-def in_slice(keys: list[str], order: list[str]) -> WindowSpec:
-    return W.partitionBy(*keys, SLICE).orderBy(*order)
+def in_slice(df: DataFrame, keys: list[str], order: list[str]) -> WindowSpec:
+    cut = [SLICE] if SLICE in df.columns else []
+    return W.partitionBy(*keys, *cut).orderBy(*order)
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
     """Inclusive running sums per key in ``order``, one column per entry of ``values``."""
     src = df.withColumns({f"_v_{n}": v for n, v in values.items()})
     rows = inherit(src, keys, {f"_c_{n}": F.sum(f"_v_{n}") for n in values},
-                   lambda per, before: per.withColumns(
-                       {f"_c_{n}": F.coalesce(F.sum(f"_c_{n}").over(before), F.lit(0)) for n in values}),
+                   lambda per, before: per.withColumns({f"_c_{n}": F.sum(f"_c_{n}").over(before) for n in values}),
                    [f"_c_{n}" for n in values])
-    w = in_slice(keys, order).rowsBetween(W.unboundedPreceding, 0)
-    return (rows.withColumns({n: F.col(f"_c_{n}") + F.sum(f"_v_{n}").over(w) for n in values})
+    w = in_slice(df, keys, order).rowsBetween(W.unboundedPreceding, 0)
+    return (rows.withColumns({n: F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.sum(f"_v_{n}").over(w) for n in values})
             .drop(*[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values]))
 
 
@@ -71,7 +76,7 @@ def last_known(df: DataFrame, keys: list[str], order: list[str], value: Column,
     newest = F.max(F.when(F.col("_v").isNotNull(), F.struct(*order, F.col("_v").alias("_v"))))["_v"]
     rows = inherit(df.withColumn("_v", value), keys, {"_m": newest},
                    lambda per, before: per.withColumn("_carry", F.last("_m", ignorenulls=True).over(before)), ["_carry"])
-    w = in_slice(keys, order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    w = in_slice(df, keys, order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     return rows.withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(w), F.col("_carry"))).drop("_v", "_carry")
 
 

@@ -15,6 +15,7 @@ def build(app: str = "tidemark", master: str | None = None, **conf: str) -> Spar
     b = (SparkSession.builder.appName(app)
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
