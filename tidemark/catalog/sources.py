@@ -143,8 +143,8 @@ def run_lines(spark, sf):
         "file", (F.col("d") * 10 + F.col("i")).cast("bigint").alias("line_no"), "value")
 
 
-@query("scan_log_metrics", """SELECT strftime(day, '%Y-%m') AS file, row_number() OVER (ORDER BY day) AS run, n AS unique_tokens, v AS too_fresh, 0 AS too_old, c AS in_window,
-  e AS matches, s AS others, 8 AS seconds FROM (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (event_type = 'view') AS v,
+@query("scan_log_metrics", """SELECT strftime(day, '%Y-%m') AS file, row_number() OVER (ORDER BY day) AS run, n AS unique_tokens, v AS too_fresh, 0::BIGINT AS too_old, c AS in_window,
+  e AS matches, s AS others, 8::BIGINT AS seconds FROM (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (event_type = 'view') AS v,
   count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'signup') AS s FROM events GROUP BY 1)""")
 def scan_log_metrics(spark, sf):
     return logs.run_metrics(run_lines(spark, sf))

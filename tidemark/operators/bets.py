@@ -17,18 +17,22 @@ from tidemark.functions.values import cents, clamp
 def evaluate(markets: DataFrame) -> DataFrame:
     """Markets worth a bet, with side, edge and size. Sizing is fractional Kelly, limited by edge and confidence."""
     m = (markets.filter((F.col("volume") >= fixed.MIN_MARKET_VOLUME) & (F.col("liquidity") >= fixed.MIN_MARKET_LIQUIDITY))
-         .withColumn("probability", tx.percent_in(F.col("research")))
-         .withColumn("confidence", tx.confidence_in(F.col("research"))))
+         # exploding a single struct makes the text be parsed once; as plain columns the parsing would be
+         # repeated in every filter below that is pushed down
+         .select("*", F.explode(F.array(F.struct(
+             tx.percent_in(F.col("research")).alias("probability"), tx.confidence_in(F.col("research")).alias("confidence"),
+             F.upper("research").contains("EXTREME_ODDS").alias("flag")))).alias("r"))
+         .select("*", "r.probability", "r.confidence", "r.flag"))
     p, price = F.col("probability"), F.col("yes_price")
     low, high = fixed.PROBABILITY_RANGE
     m = m.withColumn("is_extreme", (p < low) | (p > high)).withColumn("signed_edge", p - price)
     edge = F.abs("signed_edge")
-    flagged = F.upper("research").contains("EXTREME_ODDS") | (p < fixed.LONGSHOT)
+    flagged = F.col("flag") | (p < fixed.LONGSHOT)
     m = m.filter(~(F.col("is_extreme") & flagged) & (edge >= fixed.MIN_EDGE)
                  & ~(F.col("is_extreme") & (edge < fixed.MIN_EDGE_EXTREME)))
     yes = F.col("signed_edge") > 0
     # one step per column: each is used several times below, and would be repeated if written inline
-    m = m.select("id", "research", p.alias("probability"), "confidence", "is_extreme", "signed_edge", edge.alias("edge"),
+    m = m.select("id", p.alias("probability"), "confidence", "is_extreme", "signed_edge", edge.alias("edge"),
                  F.when(yes, p).otherwise(1 - p).alias("win"), F.when(yes, price).otherwise(1 - price).alias("stake"))
     win, stake, odds, fraction, kelly = (F.col(c) for c in ("win", "stake", "odds", "fraction", "kelly"))
     m = m.withColumn("odds", F.when(stake > 0, (1 - stake) / stake).otherwise(0.0))

@@ -26,5 +26,5 @@ def top_by_status(scored: DataFrame, keep: dict[str, int] | None = None) -> Data
     limit = F.lit(0)
     for s, k in keep.items():
         limit = F.when(F.col("status") == s, k).otherwise(limit)
-    return (scored.withColumn("rn", F.row_number().over(w).cast("int")).filter(F.col("rn") <= max(keep.values()))
+    return (scored.withColumn("rn", F.row_number().over(w).cast("bigint")).filter(F.col("rn") <= max(keep.values()))
             .filter(F.col("rn") <= limit))

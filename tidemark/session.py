@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     Written tables and streaming checkpoints must be readable from every executor, so a machine-local
     folder is used only in local mode, where the setting is usually absent.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.local.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

@@ -152,7 +152,7 @@ class Deadline(StatefulProcessor):
         if not self.state.exists():
             self.state.update((due,))
             self.handle.registerTimer(due)
-        yield pd.DataFrame({"key": pd.Series([], dtype="int64"), "expired_at": pd.Series([], dtype="int64")})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         due = self.state.get()[0]
