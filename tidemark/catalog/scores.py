@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import bindings as b
 from tidemark import fixed
 from tidemark.catalog.base import query, with_
-from tidemark.catalog.joins import PAIRS_SQL, TRACKED_SQL, exchanges, pairs, signals, tracked, traded_recently  # noqa: F401
+from tidemark.catalog.joins import PAIRS_SQL, TRACKED_SQL, pairs, signals, traded_recently
 from tidemark.catalog.series import BARS, EMA, FEATURES_SQL, pool_candles
-from tidemark.catalog.wallets import FLOWS_SQL, HELD_SQL, recent_trades
-from tidemark.functions.values import ntz
+from tidemark.catalog.wallets import HELD_SQL, recent_trades
+from tidemark.functions.values import epoch, hours_between, ntz
 from tidemark.operators import aggregates as ag
 from tidemark.operators import candles as cd
-from tidemark.operators import joins as jn
 from tidemark.operators import scoring as sc
 from tidemark.operators import wallets as wa
 from tidemark.plans import wallet_scan
@@ -54,7 +54,6 @@ def engine_columns(df):
 
 def last_prices(spark, sf, n=3):
     """The last few prices per token, oldest first; the rank bound is applied before the shuffle."""
-    from pyspark.sql import Window as W
     t = b.trades(spark, sf).select("token", *b.TRADE_ORDER)
     win = W.partitionBy("token").orderBy(*[F.col(c).desc() for c in b.TRADE_ORDER])
     return (t.withColumn("rn", F.row_number().over(win)).filter(F.col("rn") <= n).groupBy("token")
@@ -136,7 +135,6 @@ def daily_one(spark, sf, n):
 
 
 A_, B_, C_ = fixed.DAILY_A, fixed.DAILY_B, fixed.DAILY_C
-k0 = "printf('%s', round_even({0}, 0)::BIGINT)"
 
 
 def fmt(template: str, value: str) -> str:
@@ -335,7 +333,6 @@ FROM (SELECT l.*, mark / (l_extendedprice / l_quantity) AS m, (epoch(TIMESTAMP '
 def exit_ladder(spark, sf):
     t = b.trades(spark, sf)
     mark = t.groupBy("token").agg(b.last_price().alias("mark"))
-    from tidemark.functions.values import hours_between
     return t.filter("side = 'buy'").join(mark, "token").select(
         "order_id", "line_no", "token",
         sc.exit_ladder(F.col("mark"), F.col("price"), hours_between(ntz(b.AS_OF), F.col("ts"))).alias("action"))
@@ -348,9 +345,6 @@ def launch_momentum(spark, sf):
     return s.select("token", F.round("score", 6).alias("score"))
 
 
-TRIAGE_WORDS = ("paux", "the", "est", "der")
-
-
 @query("message_triage", """
 WITH m AS (SELECT event_id AS id, event_type || ' ' || (['payment failed', 'weekly meeting', 'hello', 'invoice due', 'Security Alert'])[(user_id % 5 + 1)::INT]
     AS subject, 'user' || user_id AS sender, ts FROM events WHERE epoch(TIMESTAMP '2024-01-30 23:00:00') - epoch_us(ts) // 1000000 <= 1800 * 48),
@@ -363,5 +357,4 @@ def message_triage(spark, sf):
     e = b.table(spark, sf, "events")
     m = e.select(F.col("event_id").alias("id"), F.concat("event_type", F.lit(" "), F.element_at(kinds, (F.col("user_id") % 5 + 1).cast("int"))).alias("subject"),
                  F.concat(F.lit("user"), "user_id").alias("sender"), "ts")
-    from tidemark.functions.values import epoch
     return sc.message_triage(m, epoch(ntz("2024-01-30 23:00:00")), minutes=30 * 48).select("id", "subject", "sender", "level")
