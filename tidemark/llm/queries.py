@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, pii
 
 QUERIES = {
     "op2_source_mix": mixing.op2_source_mix,
+    "op5_pii": pii.op5_pii,
 }
 
 SQL = {
     "op2_source_mix": mixing.SQL,
+    "op5_pii": pii.SQL,
 }
