@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, pii
+from tidemark.llm import mixing, pii, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_source_mix": mixing.op2_source_mix,
     "op5_pii": pii.op5_pii,
 }
 
 SQL = {
+    "op1_warc": warc.SQL,
     "op2_source_mix": mixing.SQL,
     "op5_pii": pii.SQL,
 }
