@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, pii, warc
+from tidemark.llm import mixing, near_dedup, pii, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_source_mix": mixing.op2_source_mix,
     "op5_pii": pii.op5_pii,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
 }
 
 SQL = {
     "op1_warc": warc.SQL,
     "op2_source_mix": mixing.SQL,
     "op5_pii": pii.SQL,
+    "op8_near_dedup": near_dedup.SQL,
 }
