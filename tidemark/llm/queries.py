@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, near_dedup, pii, warc
+from tidemark.llm import mixing, near_dedup, packing, pii, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_source_mix": mixing.op2_source_mix,
     "op5_pii": pii.op5_pii,
+    "op6_packing": packing.op6_packing,
     "op8_near_dedup": near_dedup.op8_near_dedup,
 }
 
