@@ -1,14 +1,41 @@
-"""The training-data pipeline: stages over ``documents``, each written and read again before the next."""
+"""The training-data pipeline: stages over ``documents``, each written and read again before the next.
+
+Language identification drops texts without a language, near-duplicate search keeps one document of each group,
+personal data is replaced by its kind, sources are mixed to their target weights, and the result is packed into
+sequences of 4096 tokens. All stages but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import language, mixing, near_dedup, packing, pii
 from tidemark.llm.common import read, stored
 
-STAGES: list = []
 
-ORACLE_SQL = None
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_first(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeat_documents(docs)
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_duplicates), ("pii", personal_data), ("mixing", source_mix), ("packing", best_fit)]
+
+ORACLE_SQL = None  # trained models and the packing program are not expressible; tests hold each stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,4 +43,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

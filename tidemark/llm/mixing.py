@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import n_words, read, running
+from tidemark.llm.common import n_words, read, running, stored
 
 GOLDEN = 0.6180339887498949
 CELLS = 4096
@@ -104,6 +104,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: floa
     return got.select(*out).unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
 
 
+def repeat_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` as the mix takes them: a document stands as often as the mix takes its words, rounded to whole times.
+
+    Documents without words, and those that the mix takes less than half of, go; all columns stay as they were.
+    Rows equal in doc_id, source and size share what the mix takes of them.
+    """
+    per = mix(docs).filter("size > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
+    times = F.floor(F.col("taken") / (F.col("size") * F.col("rows")) + 0.5).cast("int")
+    copies = stored(per.select(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.col("size").alias("n"), times.alias("times")).filter("times > 0"), "mix-copies")
+    own = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    met = own.join(copies, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("src")) & (F.col("size") == F.col("n")))
+    return met.select("doc", F.explode(F.sequence(F.lit(1), "times"))).select("doc.*")
+
+
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:
     """All documents at weights 5, 2, 1: doc_id, size, source_size, target, taken."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.batches import batch_words, mix, shingle_hashes, word_hashes
 from tidemark.llm.common import read, spread_join, stored
@@ -253,6 +254,19 @@ def _verify(own: DataFrame, described: DataFrame, unique: DataFrame, pairs: Data
     return both.mapInArrow(_confirm(percent), "a long, b long")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id; all columns as they were.
+
+    Of rows that repeat a doc_id one stays, the first by hash of its text. Rows without doc_id all stay.
+    """
+    dropped = stored(link(docs).filter("NOT kept").select("doc_id").distinct(), "near-dropped")
+    again = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-repeated")
+    left = docs.join(dropped, "doc_id", "left_anti").select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    one = left.join(again, "doc_id", "left_semi").withColumn("rank", rank).filter("rank = 1")
+    return left.join(again, "doc_id", "left_anti").select("doc.*").unionByName(one.select("doc.*"))
+
+
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Components of near duplicates over all documents: doc_id, n_shingles, component_id, kept."""
     return link(read(spark, sf_dir, "documents"))
