@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, mixing, near_dedup, packing, pii, warc
+from tidemark.llm import language, mixing, near_dedup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_packing": packing.op6_packing,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_quality": quality.op9_quality,
     "op10_language": language.op10_language,
 }
 
