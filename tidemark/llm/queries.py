@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, mixing, near_dedup, packing, pii, quality, warc
+from tidemark.llm import fingerprints, language, mixing, near_dedup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_source_mix": mixing.op2_source_mix,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_pii": pii.op5_pii,
     "op6_packing": packing.op6_packing,
     "op8_near_dedup": near_dedup.op8_near_dedup,
