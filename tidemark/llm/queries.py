@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import fingerprints, language, mixing, near_dedup, packing, pii, quality, warc
+from tidemark.llm import fingerprints, language, lm, mixing, near_dedup, packing, pii, quality, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_pii": pii.op5_pii,
     "op6_packing": packing.op6_packing,
+    "op7_lm_score": lm.op7_lm_score,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_quality": quality.op9_quality,
     "op10_language": language.op10_language,
@@ -19,5 +20,6 @@ SQL = {
     "op1_warc": warc.SQL,
     "op2_source_mix": mixing.SQL,
     "op5_pii": pii.SQL,
+    "op7_lm_score": lm.op7_lm_score,
     "op8_near_dedup": near_dedup.SQL,
 }
