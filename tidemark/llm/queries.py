@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import fingerprints, language, lm, mixing, near_dedup, packing, pii, quality, warc
+from tidemark.llm import fingerprints, language, lm, mixing, near_dedup, packing, passages, pii, quality, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_source_mix": mixing.op2_source_mix,
+    "op3_passages": passages.op3_passages,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_pii": pii.op5_pii,
     "op6_packing": packing.op6_packing,
