@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -61,3 +63,19 @@ def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def rows_of(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def slices(batch: pa.RecordBatch, name: str = "text", most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch whose texts have together at most so many bytes, or that are one row: bounds what arrays over words take."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column(name)).fill_null(0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def sliced(work, name: str = "text"):
+    """A function of batches that gets them in ``slices``."""
+    return lambda batches: work(part for batch in batches for part in slices(batch, name))

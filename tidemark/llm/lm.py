@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import gru
-from tidemark.llm.batches import batch_words
+from tidemark.llm.batches import batch_words, sliced
 from tidemark.llm.common import read, spread_join, stored, words
 
 SENT = 1 << 18  # words whose counts are sent to the tasks
@@ -158,7 +158,7 @@ def score(docs: DataFrame) -> DataFrame:
     rest_mass = float(n_words - counts[:head].sum()) + 0.5 * (max(kinds - head, 0) + 1)
 
     known = own.withColumn("held_out", held_out(F.col("doc_id")))
-    coded = stored(known.mapInArrow(_code(sent, counts, head, ends), CODED), "lm-coded")
+    coded = stored(known.mapInArrow(sliced(_code(sent, counts, head, ends)), CODED), "lm-coded")
     far = coded.select("rid", F.explode("far").alias("h")).groupBy("rid", "h").agg(F.count(F.lit(1)).alias("times"))
     met = spread_join(far, counted.select("h", "c"), "h", F.col("rid"), "left")
     rest = met.groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("far_logs"),

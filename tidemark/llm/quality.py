@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from tidemark.llm.batches import batch_words, shingle_hashes, word_hashes
+from tidemark.llm.batches import batch_words, shingle_hashes, sliced, word_hashes
 from tidemark.llm.common import read
 
 WORD_BUCKETS, CHAR_BUCKETS = 8192, 4096
@@ -124,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = min(1.0, sample / max(known.count(), 1))
     some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) <= int(share * (1 << 30)))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality")
-    got = rows.drop("doc_id").mapInArrow(_features, "quality int, at binary, value binary").collect()
+    got = rows.drop("doc_id").mapInArrow(sliced(_features), "quality int, at binary, value binary").collect()
     got = sorted(got, key=lambda r: (r["at"], r["value"], r["quality"]))
     return Model(np.array([r["quality"] for r in got], int), [np.frombuffer(r["at"], np.int32) for r in got],
                  [np.frombuffer(r["value"], np.float32) for r in got])
@@ -165,7 +165,7 @@ def rate(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
     """
     packed = docs.select(F.struct("*").alias("doc"), F.col("text"))
     schema = StructType([StructField("doc", packed.schema["doc"].dataType), *_parse_datatype_string(RULES).fields])
-    return packed.mapInArrow(_score(model, threshold), schema)
+    return packed.mapInArrow(sliced(_score(model, threshold)), schema)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
