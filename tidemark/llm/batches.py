@@ -36,9 +36,12 @@ def batch_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, l
     coded = flat.dictionary_encode()
     codes, distinct = np.asarray(coded.indices).astype(np.int64), coded.dictionary.cast(pa.large_binary()).to_pylist()
     if b"" in distinct:  # white space at the ends of a text gives empty parts
-        keep = codes != distinct.index(b"")
+        blank = distinct.index(b"")
+        keep = codes != blank
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
         codes = codes[keep]
+        codes -= codes > blank
+        del distinct[blank]
     return offsets, codes, distinct
 
 

@@ -119,6 +119,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
         likely = F.contains(F.col("t"), F.lit("@")) if gate is None else F.col("t").rlike(gate)
         df = df.withColumn(names[kind], F.when(likely, F.regexp_extract_all(F.col("t"), F.lit(pattern), F.lit(0)))
                            .otherwise(F.array().cast("array<string>")))
+    empty = F.array().cast(SPANS)
     some = F.greatest(*[F.size(names[k]) for k in names]) > 0
     placed = []
     for kind, (pattern, _, score, near) in {**BASE, **MORE}.items():
@@ -133,13 +134,12 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
             alone = F.filter(kept, lambda s: ~F.when(s["start"] > 0, F.substring(F.col("t"), s["start"], 1)).otherwise("").rlike(edge)
                              & ~F.substring(F.col("t"), s["stop"] + 1, 1).rlike(edge))
             spans = F.filter(F.transform(alone, scored), lambda s: s["score"] >= NEEDED - 1e-9)
-        placed.append(spans.alias(kind))
-    empty = F.array().cast(SPANS)
-    df = df.select("doc", *[F.when(some, s).otherwise(empty).alias(k) for k, s in zip(names, placed)])
-    base = F.concat(*[F.col(k) for k in BASE])
-    more = F.filter(F.concat(*[F.col(k) for k in MORE]), lambda s: ~F.exists(
-        base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return df.select("doc.*", F.concat(base, F.when(F.size(F.concat(*[F.col(k) for k in MORE])) > 0, more).otherwise(empty)).alias(out))
+        placed.append(spans)
+    df = df.select("doc", *[F.when(some, s).otherwise(empty).alias(f"{k} spans") for k, s in zip(names, placed, strict=True)])
+    base, extra = (F.concat(*[F.col(f"{k} spans") for k in kinds]) for kinds in (BASE, MORE))
+    alone = F.filter(extra, lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    df = df.select("doc", F.concat(base, F.when(F.size(extra) > 0, alone).otherwise(empty)).alias("all spans"))
+    return df.select("doc.*", F.col("all spans").alias(out))
 
 
 def redact(docs: DataFrame) -> DataFrame:
