@@ -89,7 +89,7 @@ def test_hysteresis_alternates(rows):
 
 def test_allocation_matches_greedy(spark):
     rnd = random.Random(3)
-    data = [(rnd.choice(["p", "q"]), i, rnd.randrange(1, 400) / 1000, rnd.randrange(50, 301) / 100) for i in range(900)]
+    data = [(rnd.choice(["p", "q"]), i, rnd.randrange(1, 400) / 1000, rnd.choice([rnd.randrange(50, 301), rnd.randrange(0, 60)]) / 100) for i in range(900)]
     df = spark.createDataFrame(data, "portfolio STRING, id BIGINT, edge DOUBLE, amount DOUBLE")
     got = sorted((r.portfolio, r.id) for r in bets.allocate(df, ["portfolio"]).collect())
     want, used = [], {"p": 0, "q": 0}
@@ -106,3 +106,27 @@ def test_as_of_takes_last_at_or_before(spark):
     l, r = (d.withColumn("ts", F.timestamp_seconds("s")) for d in (left, right))
     got = joins.as_of(l, r.drop("s"), ["key"], "ts", "price", "p", 7, ["n"]).collect()
     assert {x.id: x.p for x in got} == {1: 1.7, 2: 2.5, 3: None, 4: None}
+
+
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, 10, 1), (None, 9000, 2), ("k", 20, 5), ("k", 9000, 6)], "key STRING, s BIGINT, v BIGINT").withColumn("ts", F.timestamp_seconds("s"))
+    got = sliced.running_sums(sliced.slice_time(df, "ts", 100), ["key"], ["ts"], {"total": F.col("v")}).collect()
+    assert {(r.key, r.s): r.total for r in got} == {(None, 10): 1, (None, 9000): 3, ("k", 20): 5, ("k", 9000): 11}
+    left, right = df.select("key", "ts", "s"), df.select("key", "ts", F.col("v").cast("double").alias("price"), F.col("s").alias("n"))
+    seen = joins.as_of(left, right, ["key"], "ts", "price", "p", 100, ["n"]).collect()
+    assert {(r.key, r.s): r.p for r in seen} == {(None, 10): 1.0, (None, 9000): 2.0, ("k", 20): 5.0, ("k", 9000): 6.0}
+
+
+@pytest.mark.parametrize("block", [1, 4, 100])
+def test_rolling_frames_longer_than_a_block(spark, block):
+    df = spark.range(30).select(F.lit("k").alias("key"), F.timestamp_seconds("id").alias("ts"), "id")
+    got = sliced.rolling(sliced.slice_time(df, "ts", 7), ["key"], ["ts"], 10, block, n=lambda w: F.count(F.lit(1)).over(w)).collect()
+    assert sorted((r.id, r.n) for r in got) == [(i, min(i + 1, 10)) for i in range(30)]
+
+
+def test_tokens_without_creation_time(spark):
+    from tidemark.plans import discovery
+    data = [("s", 0, 1, "solana", "c1", 200_000.0, 50_000.0, 10.0, None), ("s", 0, 2, "solana", "c2", 200_000.0, 20_000.0, 10.0, None)]
+    df = spark.createDataFrame(data, "source STRING, source_rank INT, pos BIGINT, platform STRING, contract STRING, market_cap DOUBLE, volume_24h DOUBLE, "
+                                     "change_24h DOUBLE, created_at TIMESTAMP")
+    assert [r.pos for r in discovery.select(df, F.lit(1_000_000_000)).collect()] == [1]

@@ -43,5 +43,18 @@ def test_batches_do_not_matter(spark, folder, name):
 def test_cooldown_stream_equals_batch(spark, folder):
     from tidemark.operators import monitors
     stream = wi.run_available(BUILD["cooldown"](checks(spark, folder, 1)), "t_cool")
-    batch = monitors.cooldown(spark.read.parquet(folder).select("key", "ts"), ["key"], "ts", .25)
+    source = spark.read.parquet(folder).select("key", "ts")
+    closed = source.filter(F.unix_timestamp("ts") < source.agg(F.max(F.unix_timestamp("ts"))).first()[0])  # what the watermark has passed
+    batch = monitors.cooldown(closed, ["key"], "ts", .25)
     assert sorted(map(tuple, stream.select("key", "sec").collect())) == sorted(map(tuple, batch.select("key", "sec").collect()))
+
+
+@pytest.mark.parametrize("files", [1, 2, 100])
+def test_cooldown_takes_rows_out_of_order(spark, tmp_path, files):
+    path = str(tmp_path / "late")
+    for secs in ([1000, 1001], [999, 2000], [998, 1999], [9000]):
+        df = spark.createDataFrame([("k", s) for s in secs], "key STRING, s BIGINT").select("key", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(path)
+    source = wi.timed(wi.read_files(spark, path, "*.parquet", files_per_batch=files), "2000 seconds")
+    got = wi.run_available(st.cooldown(source, "STRING", hours=2 / 3600), "t_late")
+    assert sorted(r.sec for r in got.collect()) == [998, 1000, 1999]

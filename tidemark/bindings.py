@@ -6,8 +6,6 @@ partitions are added up and downstream thresholds are reproducible.
 
 from __future__ import annotations
 
-from weakref import WeakKeyDictionary
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,24 +18,8 @@ SUPPLY_FROM = "2000-06-01 00:00:00"
 DAY_3 = 259_200
 
 
-# Tables that grow, with the column their rows are spread by when a file has fewer splits than there are cores.
-SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
-
-_TABLES: WeakKeyDictionary = WeakKeyDictionary()  # lazy frames per session; saves listing the same files again
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table. One that comes as a few large splits is spread over the cores right after the scan.
-
-    At scale a table has far more splits than cores and is read as it is, without this shuffle.
-    """
-    known = _TABLES.setdefault(spark, {})
-    path = f"{sf}/{name}.parquet"
-    if path not in known:
-        df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-        few = name in SPREAD and df.rdd.getNumPartitions() * 2 <= cores
-        known[path] = df.repartition(cores, SPREAD[name]) if few else df
-    return known[path]
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def trades(spark: SparkSession, sf: str, token: str = "l_partkey", wallets: bool = False,
@@ -135,7 +117,7 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.sum("value_usd"), 2).alias("market_cap"),
         F.round(nz(F.sum(F.when(F.col("ts") >= ntz(RECENT_FROM), F.col("value_usd")))), 2).alias("volume_24h"),
         F.sum("qty").alias("qty_all"),
-        F.max("ts").alias("created_at"),
+        F.max(F.when(F.col("token") % 3 != 0, F.col("ts"))).alias("created_at"),  # many vendors send no creation time
     )
     rank = (F.when(F.col("flag") == "A", 0).when(F.col("flag") == "N", 2).otherwise(4)
             + F.when(F.col("line_status") == "F", 0).otherwise(1))
@@ -162,9 +144,12 @@ listings AS (SELECT l_returnflag || l_linestatus AS source,
         round(coalesce(sum(l_extendedprice) FILTER (l_shipdate >= TIMESTAMP '2001-05-01'), 0), 2) AS volume_24h,
         (arg_max(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_extendedprice / l_quantity))
           / (round(sum(l_extendedprice), 2) / sum(l_quantity)) - 1.0::DOUBLE) * 100.0::DOUBLE AS change_24h,
-        max(l_shipdate) AS created_at
+        max(CASE WHEN l_partkey % 3 <> 0 THEN l_shipdate END) AS created_at
       FROM lineitem GROUP BY l_partkey, l_returnflag, l_linestatus)"""
 
+LISTING_AGE_SQL = """CASE WHEN created_at IS NOT NULL THEN date_diff('day', created_at::DATE, DATE '2001-11-05')
+        WHEN market_cap > 0 AND volume_24h / market_cap > 0.1::DOUBLE THEN 5 ELSE 0 END"""
+
 
 def checks(spark: SparkSession, sf: str) -> DataFrame:
     """Monitor checks: one value per event, keyed by event type."""

@@ -23,7 +23,7 @@ def dedup_tokens(spark, sf):
 
 
 STAGES_SQL = """
-st AS (SELECT *, date_diff('day', created_at::DATE, DATE '2001-11-05') AS age FROM uniq),
+st AS (SELECT *, """ + b.LISTING_AGE_SQL + """ AS age FROM uniq),
 cl AS (SELECT age >= 4 AND age <= 10 AS win, age < 4 AS fresh, age > 10 AS old, change_24h < -5 AS falling,
         change_24h > 200 AS para, market_cap BETWEEN 100000 AND 500000 AS match, market_cap > 0 AS has_mc FROM st)"""
 
@@ -36,7 +36,7 @@ SELECT count(*) AS unique_tokens, count(*) FILTER (fresh) AS too_fresh, count(*)
   count(*) FILTER (win AND NOT falling AND NOT para AND NOT match AND has_mc) AS others FROM cl""")
 def filter_funnel(spark, sf):
     u = ag.dedup_tokens(b.listings(spark, sf))
-    return ag.filter_funnel(u, fl.age_days(epoch("created_at"), epoch(ntz(b.AS_OF))))
+    return ag.filter_funnel(u, fl.age_or_estimate(epoch("created_at"), epoch(ntz(b.AS_OF))))
 
 
 @query("whale_confirmations", with_(b.TRADES_SQL) + "SELECT token, count(DISTINCT wallet) AS wallets FROM t WHERE side = 'buy' GROUP BY token")

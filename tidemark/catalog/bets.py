@@ -145,7 +145,7 @@ def stop_loss(spark, sf):
 
 
 ALLOC_SQL = """
-c AS (SELECT o_orderpriority AS portfolio, o_orderdate::DATE AS day, o_orderkey AS id, o_totalprice AS edge, 50 + o_orderkey * 7 % 251 AS amt,
+c AS (SELECT o_orderpriority AS portfolio, o_orderdate::DATE AS day, o_orderkey AS id, o_totalprice AS edge, o_orderkey * 7 % 251 AS amt,
         row_number() OVER (PARTITION BY o_orderpriority, o_orderdate::DATE ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders),
 g(portfolio, day, k, used, ok) AS (SELECT portfolio, day, k, CASE WHEN amt <= 400 THEN amt ELSE 0 END, amt <= 400 FROM c WHERE k = 1 UNION ALL
       SELECT c.portfolio, c.day, c.k, g.used + CASE WHEN g.used + c.amt <= 400 THEN c.amt ELSE 0 END, g.used + c.amt <= 400
@@ -154,10 +154,10 @@ g(portfolio, day, k, used, ok) AS (SELECT portfolio, day, k, CASE WHEN amt <= 40
 
 @query("exposure_allocation", with_(ALLOC_SQL) + """SELECT portfolio, day, id, amt / 100 AS amount FROM g JOIN c USING (portfolio, day, k) WHERE ok""")
 def exposure_allocation(spark, sf):
-    """Bets of a day and portfolio under a limit of 4, low enough for some to be refused."""
+    """Bets of a day and portfolio, zero and cents among them, under a limit of 4, low enough for some to be refused."""
     o = b.table(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("portfolio"), F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("id"),
-        F.col("o_totalprice").alias("edge"), ((F.col("o_orderkey") * 7 % 251 + 50) / 100).alias("amount"))
+        F.col("o_totalprice").alias("edge"), ((F.col("o_orderkey") * 7 % 251) / 100).alias("amount"))
     return bt.allocate(o, ["portfolio", "day"], limit=4.0)
 
 

@@ -27,7 +27,7 @@ def top_matches(spark, sf):
 
 
 @query("discovery_scan", with_(b.LISTINGS_SQL, UNIQUE_SQL, f"""
-k AS (SELECT *, {KIND} AS kind FROM uniq WHERE date_diff('day', created_at::DATE, DATE '2001-11-05') BETWEEN 4 AND 10 AND change_24h BETWEEN -5 AND 200)""") + TOP)
+k AS (SELECT *, {KIND} AS kind FROM uniq WHERE {b.LISTING_AGE_SQL} BETWEEN 4 AND 10 AND change_24h BETWEEN -5 AND 200)""") + TOP)
 def discovery_scan(spark, sf):
     return discovery.scan(b.listings(spark, sf), epoch(ntz(b.AS_OF))).select("source", "pos", "kind", "volume_24h")
 

@@ -72,7 +72,8 @@ def stream_alert_dedup(spark, sf):
 
 @query("stream_cooldown", with_("""
 c AS (SELECT user_id, sec, row_number() OVER (PARTITION BY user_id ORDER BY sec) AS k
-      FROM (SELECT DISTINCT user_id, epoch_us(ts) // 1000000 AS sec FROM events WHERE event_type = 'error')),
+      FROM (SELECT DISTINCT user_id, epoch_us(ts) // 1000000 AS sec FROM events WHERE event_type = 'error')
+      WHERE (sec + 1) * 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 60000 FROM events WHERE event_type = 'error')),
 nxt AS (SELECT a.user_id, a.k, min(b.k) AS nk FROM c a LEFT JOIN c b ON b.user_id = a.user_id AND b.sec >= a.sec + 259200 GROUP BY 1, 2),
 sent(user_id, k) AS (SELECT user_id, 1::BIGINT FROM c WHERE k = 1 UNION ALL
       SELECT s.user_id, n.nk FROM sent s JOIN nxt n ON n.user_id = s.user_id AND n.k = s.k WHERE n.nk IS NOT NULL)""") + """

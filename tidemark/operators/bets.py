@@ -99,20 +99,22 @@ def stop_loss(positions: DataFrame, share: float = fixed.STOP_LOSS) -> DataFrame
 
 
 def allocate(candidates: DataFrame, group: Sequence[str], limit: float = fixed.MAX_DAILY_EXPOSURE,
-             least: float = fixed.MIN_POSITION, max_position: float | None = None) -> DataFrame:
+             max_position: float | None = None) -> DataFrame:
     """Accept candidates by falling edge while they fit the limit; one that does not fit uses up nothing.
 
     Greedy, so a fold over the group, which is first cut down without changing the result: of the
     candidates with equal amounts only the first ``limit / amount`` by edge can be accepted, because once
-    one of them does not fit, no later one of that amount does. Amounts are whole cents of at least
-    ``least``, so a group keeps a number of rows that depends on the limit only. The rank bound is applied
-    before the shuffle.
+    one of them does not fit, no later one of that amount does. Amounts are whole cents, so a group keeps a number of
+    rows that depends on the limit only, the sum of ``limit / amount`` over all amounts (11,000 at a limit of 15). The
+    rank bound is applied before the shuffle. Amounts of zero always fit and stay out of the fold; negative ones
+    and nulls are no candidates.
     """
     amount = F.col("amount") if max_position is None else F.least(F.col("amount"), F.lit(max_position))
-    cap, floor_ = int(round(limit * 100)), int(round(least * 100))
-    c = candidates.withColumn("_c", F.round(amount * 100).cast("bigint")).filter(F.col("_c").between(floor_, cap))
+    cap = int(round(limit * 100))
+    every = candidates.withColumn("_c", F.round(amount * 100).cast("bigint"))
+    free, c = every.filter(F.col("_c") == 0), every.filter(F.col("_c").between(1, cap))
     w = W.partitionBy(*group, "_c").orderBy(F.col("edge").desc(), "id")
-    c = c.withColumn("_rn", F.row_number().over(w)).filter((F.col("_rn") <= cap // floor_) & (F.col("_rn") * F.col("_c") <= cap))
+    c = c.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") * F.col("_c") <= cap)
     ranked = c.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((-F.col("edge")).alias("e"), "id", "_c"))).alias("q"))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<struct<id:{_type(candidates, 'id')},_c:bigint>>").alias("took"))
 
@@ -122,7 +124,8 @@ def allocate(candidates: DataFrame, group: Sequence[str], limit: float = fixed.M
                                      F.array_append(s["took"], F.struct(x["id"].alias("id"), x["_c"].alias("_c"))).alias("took"))).otherwise(s)
 
     got = ranked.select(*group, F.explode(F.aggregate("q", start, step)["took"]).alias("t"))
-    return got.select(*group, F.col("t.id").alias("id"), (F.col("t._c") / 100).alias("amount"))
+    took = got.select(*group, F.col("t.id").alias("id"), (F.col("t._c") / 100).alias("amount"))
+    return took.unionByName(free.select(*group, "id", F.lit(0.0).alias("amount")))
 
 
 def _type(df: DataFrame, c: str) -> str:

@@ -13,6 +13,8 @@ are bounded by time already, such as candles.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,10 +33,6 @@ def slice_number(df: DataFrame, n: str, width: int) -> DataFrame:
     return df.withColumn(SLICE, F.floor(F.col(n) / width))
 
 
-def unslice(df: DataFrame) -> DataFrame:
-    return df.drop(SLICE)
-
-
 def inherit(df: DataFrame, keys: list[str], summary: dict[str, Column],
             scan: Callable[[DataFrame, WindowSpec], DataFrame], names: list[str]) -> DataFrame:
     """Join to every row what its slice inherits from the earlier slices of the key.
@@ -46,7 +44,10 @@ def inherit(df: DataFrame, keys: list[str], summary: dict[str, Column],
         return df.withColumns({n: F.lit(None) for n in names})
     per_slice = df.groupBy(*keys, SLICE).agg(*[c.alias(n) for n, c in summary.items()])
     before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    return df.join(scan(per_slice, before).select(*keys, SLICE, *names), [*keys, SLICE], "left")
+    on = [*keys, SLICE]
+    side = scan(per_slice, before).select(*[F.col(k).alias(f"_on_{i}") for i, k in enumerate(on)], *names)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_on_{i}")) for i, k in enumerate(on)])  # windows treat null keys as a group, so must this
+    return df.join(side, same, "left").drop(*[f"_on_{i}" for i in range(len(on))])
 
 
 def in_slice(df: DataFrame, keys: list[str], order: list[str]) -> WindowSpec:
@@ -89,14 +90,12 @@ def rolling(df: DataFrame, keys: list[str], order: list[str], rows: int, block:
             **aggs) -> DataFrame:
     """Aggregates over the last ``rows`` rows of the key, the current one included.
 
-    Rows are numbered, cut into blocks of ``block`` and the last ``rows - 1`` of each block are copied to
-    the next one, so each frame is complete inside its block. ``aggs`` maps an output name to a function
-    of the window.
+    Rows are numbered and cut into blocks of ``block``; each row is copied to all later blocks whose frames reach
+    back to it, so each frame is complete inside its block. ``aggs`` maps an output name to a function of the window.
     """
     idx = row_index(df, keys, order, "_idx")
     own = F.floor((F.col("_idx") - 1) / block)
-    into_next = (F.col("_idx") - 1) % block >= block - (rows - 1)
-    spread = F.when(into_next, F.array(own, own + 1)).otherwise(F.array(own)) if rows > 1 else F.array(own)
+    spread = F.sequence(own, F.floor((F.col("_idx") + rows - 2) / block))
     w = W.partitionBy(*keys, "_block").orderBy("_idx").rowsBetween(-(rows - 1), 0)
     out = idx.withColumn("_own", own).withColumn("_block", F.explode(spread))
     out = out.select("*", *[make(w).alias(name) for name, make in aggs.items()])

@@ -12,8 +12,11 @@ from tidemark.operators import ranking as rk
 
 
 def select(listings: DataFrame, as_of: Column) -> DataFrame:
-    """De-duplicated listings inside the age window and momentum band, with their target class."""
-    age = fl.age_days(epoch("created_at"), as_of)
+    """De-duplicated listings inside the age window and momentum band, with their target class.
+
+    A listing without a creation time counts as established when its turnover is high, else as fresh.
+    """
+    age = fl.age_or_estimate(epoch("created_at"), as_of)
     return (ag.dedup_tokens(listings)
             .filter(fl.age_class(age) == "sweet_spot")
             .filter(fl.momentum_class() == "keep")

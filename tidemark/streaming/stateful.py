@@ -2,7 +2,8 @@
 
 A key is handled by one task per micro-batch, so what reaches the state is thinned first: one candidate per
 key and second, or one check per key and fixed window. Both are spread over (key, time) and combined before
-the shuffle. Handlers sort the rows of a batch by time, so results do not depend on how rows were batched.
+the shuffle. Cooldowns wait for the watermark and so do not depend on the order of rows; the checks that other handlers
+get are closed windows, which come in time order from batch to batch, and are sorted by time within a batch.
 """
 
 from __future__ import annotations
@@ -51,17 +52,34 @@ class _Keyed(StatefulProcessor):
             yield pd.DataFrame(out)
 
 
-class Cooldown(_Keyed):
-    state_schema = "last BIGINT"
+class Cooldown(StatefulProcessor):
+    """Greedy cooldown in order of event time: a candidate waits as a timer until the watermark has passed its second.
+
+    Expired timers of a key come in order of time, so rows may arrive in any order the watermark allows.
+    """
 
     def __init__(self, hours: float):
         self.gap = int(hours * 3600)
 
-    def step(self, key, state, row):
-        sec = int(row.sec)
-        if state is not None and sec - state[0] < self.gap:
-            return state, None
-        return (sec,), {"key": key[0], "sec": sec}
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("s", "last BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for batch in rows:
+            for sec in batch["sec"].unique():
+                self.handle.registerTimer((int(sec) + 1) * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        sec = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
+        last = self.state.get()[0] if self.state.exists() else None
+        if last is None or sec - last >= self.gap:
+            self.state.update((sec,))
+            yield pd.DataFrame({"key": [key[0]], "sec": [sec]})
+
+    def close(self) -> None:
+        pass
 
 
 class Hysteresis(_Keyed):
@@ -171,11 +189,12 @@ def _run(keyed: DataFrame, processor: StatefulProcessor, out: str, timers: bool
 def thin(candidates: DataFrame) -> DataFrame:
     """One row per key and second; the watermark delay must cover how far rows of a second lie apart."""
     c = candidates.withColumn("sec", F.unix_timestamp("ts"))
-    return c.dropDuplicatesWithinWatermark(["key", "sec"]).select("key", "sec")
+    return c.dropDuplicatesWithinWatermark(["key", "sec"]).select("key", "ts", "sec")
 
 
 def cooldown(candidates: DataFrame, key_type: str, hours: float = fixed.ENGINE_COOLDOWN_HOURS) -> DataFrame:
-    return _run(thin(candidates), Cooldown(hours), f"key {key_type}, sec BIGINT")
+    """Candidates that are sent, once the watermark has passed them."""
+    return _run(thin(candidates), Cooldown(hours), f"key {key_type}, sec BIGINT", timers=True)
 
 
 def as_checks(closes: DataFrame) -> DataFrame:
