@@ -35,3 +35,13 @@ def test_windows_over_hot_keys_are_sliced(spark, name):
     assert "_slice" in p
     rows = [line for line in p.splitlines() if "Window [" in line and "_carry" not in line and "_c_" not in line]
     assert all("_slice" in line or "_block" in line for line in rows), rows
+
+
+@pytest.mark.parametrize("name", ["candles", "ema", "target_band", "stop_loss", "filter_funnel", "discovery_scan", "daily_watchlist"])
+def test_trades_are_hashed_not_sorted_before_the_shuffle(spark, name):
+    assert "SortAggregate" not in plan(spark, name)
+
+
+@pytest.mark.parametrize("name", ["candles", "wallet_pnl", "sentiment", "threshold_hysteresis"])
+def test_tables_are_read_as_they_are(spark, name):
+    assert "REPARTITION" not in plan(spark, name)

@@ -19,7 +19,7 @@ def pool_trades(spark, sf):
 
 
 def pool_candles(spark, sf, seconds=b.DAY_3):
-    return cd.resample(pool_trades(spark, sf), seconds, b.TRADE_ORDER)
+    return cd.resample(pool_trades(spark, sf), seconds, ["seq"])
 
 
 def candles_sql(seconds: int, name: str = "bars", key: str = "l_suppkey") -> str:
@@ -153,7 +153,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY rank) AS rn FROM
 
 @query("cascade_first_engine", CASCADE)
 def cascade_first_engine(spark, sf):
-    alerts = pattern_scan.scan(pool_trades(spark, sf), b.TRADE_ORDER, base="1D", a="3D", b="1D", c="1W",
+    alerts = pattern_scan.scan(pool_trades(spark, sf), ["seq"], base="1D", a="3D", b="1D", c="1W",
                                mc=last_turnover())
     return alerts.select("token", "pattern", "ts", "price", F.round("ema50", 6).alias("ema50"))
 

@@ -114,7 +114,7 @@ def allocate(candidates: DataFrame, group: Sequence[str], limit: float = fixed.M
     every = candidates.withColumn("_c", F.round(amount * 100).cast("bigint"))
     free, c = every.filter(F.col("_c") == 0), every.filter(F.col("_c").between(1, cap))
     w = W.partitionBy(*group, "_c").orderBy(F.col("edge").desc(), "id")
-    c = c.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") * F.col("_c") <= cap)
+    c = c.withColumn("_rn", F.row_number().over(w)).filter((F.col("_rn") <= cap) & (F.col("_rn") * F.col("_c") <= cap))
     ranked = c.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((-F.col("edge")).alias("e"), "id", "_c"))).alias("q"))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<struct<id:{_type(candidates, 'id')},_c:bigint>>").alias("took"))
 

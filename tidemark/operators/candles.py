@@ -10,12 +10,16 @@ from tidemark import fixed
 
 
 def resample(trades: DataFrame, seconds: int, order: list[str], key: str = "token") -> DataFrame:
-    """Trades to OHLCV candles; ``order`` must start with ``ts`` and decide open and close without ties."""
+    """Trades to OHLCV candles; ``order`` must follow ``ts`` and decide open and close without ties.
+
+    With one fixed-width order column (a number or a time) the trades are hashed; with several Spark has to sort them
+    on both sides of the shuffle, as a struct does not fit a hash buffer.
+    """
     bucket = F.window("ts", f"{seconds} seconds")["start"]
-    ranked = F.struct(*[F.col(c) for c in order if c != "price"], F.col("price").alias("price"))
+    ranked = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order if c != "price"], F.col("price").alias("price"))
     return (trades.groupBy(key, bucket.alias("bucket"))
-            .agg(F.min(ranked)["price"].alias("o"), F.max("price").alias("h"), F.min("price").alias("l"),
-                 F.max(ranked)["price"].alias("c"), F.sum("qty").alias("v")))
+            .agg(F.min_by("price", ranked).alias("o"), F.max("price").alias("h"), F.min("price").alias("l"),
+                 F.max_by("price", ranked).alias("c"), F.sum("qty").alias("v")))
 
 
 def latest(candles: DataFrame, n: int, key: str = "token") -> DataFrame:

@@ -12,8 +12,8 @@ from tidemark.operators import candles as cd
 def coarsen(candles: DataFrame, seconds: int) -> DataFrame:
     """Candles of a longer timeframe from shorter ones that divide it."""
     return (candles.groupBy("token", F.window("bucket", f"{seconds} seconds")["start"].alias("longer"))
-            .agg(F.min(F.struct("bucket", "o"))["o"].alias("o"), F.max("h").alias("h"), F.min("l").alias("l"),
-                 F.max(F.struct("bucket", "c"))["c"].alias("c"), F.sum("v").alias("v"))
+            .agg(F.min_by("o", "bucket").alias("o"), F.max("h").alias("h"), F.min("l").alias("l"),
+                 F.max_by("c", "bucket").alias("c"), F.sum("v").alias("v"))
             .withColumnRenamed("longer", "bucket"))
 
 
