@@ -135,14 +135,14 @@ def daily_performance(spark, sf):
 
 
 @query("agent_rollup", with_(EXEC_SQL, JOBS_SQL, """
-parts AS (SELECT agent, day, trades, winners, total_pnl, volume, 0 AS done, 0 AS failed, 0 AS minutes FROM daily UNION ALL
-      SELECT agent, completed_at::DATE, 0, 0, 0, 0, count(*) FILTER (status = 'completed'), count(*) FILTER (status = 'failed'), sum(minutes)
+parts AS (SELECT agent, day, trades, winners, losers, total_pnl, volume, 0 AS done, 0 AS failed, 0 AS minutes FROM daily UNION ALL
+      SELECT agent, completed_at::DATE, 0, 0, 0, 0, 0, count(*) FILTER (status = 'completed'), count(*) FILTER (status = 'failed'), sum(minutes)
       FROM jobs WHERE status IN ('completed', 'failed') GROUP BY 1, 2),
-rolled AS (SELECT agent, period, date_trunc(unit, day)::DATE AS period_start, sum(trades)::BIGINT AS trades, sum(winners)::BIGINT AS winners,
+rolled AS (SELECT agent, period, date_trunc(unit, day)::DATE AS period_start, sum(trades)::BIGINT AS trades, sum(winners)::BIGINT AS winners, sum(losers)::BIGINT AS losers,
         round(sum(total_pnl) + 0.0::DOUBLE, 4) AS total_pnl, round(sum(volume), 2) AS volume, sum(done)::BIGINT AS jobs_completed,
         sum(failed)::BIGINT AS jobs_failed, sum(minutes)::BIGINT AS minutes
       FROM parts CROSS JOIN (VALUES ('daily', 'day'), ('weekly', 'week'), ('monthly', 'month')) p(period, unit) GROUP BY 1, 2, 3)""") + """
-SELECT agent, period, period_start, trades, winners, total_pnl, volume, jobs_completed, jobs_failed,
+SELECT agent, period, period_start, trades, winners, losers, total_pnl, volume, jobs_completed, jobs_failed,
   CASE WHEN trades > 0 THEN volume / trades END AS avg_trade_size,
   CASE WHEN jobs_completed + jobs_failed > 0 THEN minutes / (jobs_completed + jobs_failed) END AS avg_job_minutes FROM rolled""")
 def agent_rollup(spark, sf):

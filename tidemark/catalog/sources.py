@@ -53,16 +53,27 @@ def norm_birdeye(spark, sf):
 
 
 @query("norm_trending", SNAP + """SELECT CASE WHEN token % 4 = 0 THEN 'unknown' ELSE chain END AS chain, address, symbol,
-  CASE WHEN token % 6 = 0 THEN 0 ELSE holders * 1000.0::DOUBLE END AS market_cap, CASE WHEN token % 9 = 0 THEN 0 ELSE buys * 1000000.0::DOUBLE END AS volume_24h, change_24h FROM snap""")
+  CASE WHEN token % 7 = 0 THEN 0 ELSE holders::DOUBLE END AS price, CASE WHEN token % 6 = 0 THEN 0 ELSE holders * 1000.0::DOUBLE END AS market_cap, CASE WHEN token % 9 = 0 THEN 0 ELSE buys * 1000000.0::DOUBLE END AS volume_24h, change_24h FROM snap""")
 def norm_trending(spark, sf):
+    return trending(spark, sf).select("chain", "address", "symbol", "price", "market_cap", "volume_24h", "change_24h")
+
+
+@query("norm_trending_by_id", SNAP + "SELECT CASE WHEN token % 2 = 0 THEN 'solana' ELSE 'ethereum' END AS chain, address, symbol FROM snap")
+def norm_trending_by_id(spark, sf):
+    """The dialect without a platform: the chain is told by the id."""
+    return trending(spark, sf, by_id=True).select("chain", "address", "symbol")
+
+
+def trending(spark, sf, by_id=False):
     c = F.col
-    data = F.struct(F.when(c("token") % 6 == 0, "N/A").otherwise(F.concat(F.lit("$"), "holders", F.lit("K"))).alias("market_cap"),
+    data = F.struct(F.when(c("token") % 7 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("$"), "holders")).alias("price"),
+                    F.when(c("token") % 6 == 0, "N/A").otherwise(F.concat(F.lit("$"), "holders", F.lit("K"))).alias("market_cap"),
                     F.when(c("token") % 9 == 0, "1.2T").otherwise(F.concat(F.lit("$"), "buys", F.lit(".0M"))).alias("total_volume"),
                     F.struct(c("change_24h").alias("usd")).alias("price_change_percentage_24h"))
-    item = F.struct(c("symbol"), missing(4, c("chain")).alias("platform_id"), c("address").alias("contract_address"), data.alias("data"))
+    prefix = F.when(c("token") % 2 == 0, "solana-").otherwise("eth-")
+    item = F.struct(F.concat(prefix, "symbol").alias("id"), c("symbol"), missing(4, c("chain")).alias("platform_id"), c("address").alias("contract_address"), data.alias("data"))
     raw = payload(b.snapshots(spark, sf), F.array(F.struct(item.alias("item"))).alias("coins"))
-    return vendors.norm_trending(vendors.parse(raw, "raw", vendors.TRENDING)).select(
-        "chain", "address", "symbol", "market_cap", "volume_24h", "change_24h")
+    return vendors.norm_trending(vendors.parse(raw, "raw", vendors.TRENDING), by_id)
 
 
 @query("norm_gmgn", SNAP + "SELECT CASE WHEN token % 4 = 0 THEN 'solana' ELSE chain END AS chain, address, symbol, price, liquidity, holders FROM snap")

@@ -91,13 +91,13 @@ def wallet_token_performance(spark, sf):
 WHERE rn <= 3""")
 def counterparties(spark, sf):
     t = b.trades(spark, sf, token="l_suppkey", wallets=True).withColumnRenamed("token", "counterparty")
-    return wa.counterparties(t)
+    return wa.counterparties(t, 3)
 
 
 @query("leaderboard", with_(b.TRADES_SQL, pnl_sql(RECENT)) + """SELECT wallet, pnl, row_number() OVER (ORDER BY pnl DESC, wallet) AS rank
 FROM pnl ORDER BY pnl DESC, wallet LIMIT 25""")
 def leaderboard(spark, sf):
-    return wa.leaderboard(wa.wallet_pnl(recent_trades(spark, sf))).select("wallet", "pnl", "rank")
+    return wa.leaderboard(wa.wallet_pnl(recent_trades(spark, sf)), 25).select("wallet", "pnl", "rank")
 
 
 FLOWS_SQL = f"""

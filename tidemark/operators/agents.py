@@ -57,17 +57,17 @@ def agent_rollup(executions: DataFrame, jobs: DataFrame) -> DataFrame:
     Both inputs are reduced to one row per agent and day before the three periods multiply the rows.
     """
     e = daily_performance(executions).select(
-        "agent", "day", "trades", "winners", "total_pnl", "volume", *[F.lit(0).cast("bigint").alias(c) for c in ("done", "failed", "minutes")])
+        "agent", "day", "trades", "winners", "losers", "total_pnl", "volume", *[F.lit(0).cast("bigint").alias(c) for c in ("done", "failed", "minutes")])
     finished = jobs.filter(F.col("status").isin("completed", "failed"))
     j = (finished.groupBy("agent", F.to_date("completed_at").alias("day"))
          .agg(F.count_if(F.col("status") == "completed").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"),
               F.sum(F.col("minutes").cast("bigint")).alias("minutes"))
-         .select("agent", "day", *[F.lit(0).cast("bigint").alias(c) for c in ("trades", "winners")],
+         .select("agent", "day", *[F.lit(0).cast("bigint").alias(c) for c in ("trades", "winners", "losers")],
                  *[F.lit(0.0).alias(c) for c in ("total_pnl", "volume")], "done", "failed", "minutes"))
     period = F.explode(F.array(*[F.struct(F.lit(n).alias("period"), F.to_date(F.date_trunc(u, "day")).alias("period_start"))
                                  for n, u in (("daily", "day"), ("weekly", "week"), ("monthly", "month"))])).alias("p")
     r = (e.unionByName(j).select("*", period).groupBy("agent", "p.period", "p.period_start")
-         .agg(F.sum("trades").alias("trades"), F.sum("winners").alias("winners"), F.round(F.sum("total_pnl") + 0.0, 4).alias("total_pnl"),
+         .agg(F.sum("trades").alias("trades"), F.sum("winners").alias("winners"), F.sum("losers").alias("losers"), F.round(F.sum("total_pnl") + 0.0, 4).alias("total_pnl"),
               F.round(F.sum("volume"), 2).alias("volume"), F.sum("done").alias("jobs_completed"), F.sum("failed").alias("jobs_failed"),
               F.sum("minutes").alias("minutes")))
     return (r.withColumn("avg_trade_size", F.try_divide("volume", "trades"))

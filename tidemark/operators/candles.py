@@ -116,20 +116,6 @@ def pattern_c(hist: DataFrame, mc: Column, recent: int = 20, pump: float = 1.30,
             .withColumn("hit_c", F.coalesce((F.col("verdict_c") == "hit") & (mc >= fixed.PATTERN_C_MIN_MC), F.lit(False))))
 
 
-def first_pattern(hits: DataFrame, *extra: str) -> DataFrame:
-    """One alert per token: A before B before C."""
-    at = F.when(F.col("hit_a"), F.col("n")).when(F.col("hit_b_at").isNotNull(), F.col("hit_b_at")) \
-          .when(F.col("hit_c"), F.col("n"))
-    pattern = F.when(F.col("hit_a"), "A").when(F.col("hit_b_at").isNotNull(), "B").when(F.col("hit_c"), "C")
-    text = F.create_map(*[F.lit(x) for kv in fixed.PATTERN_TEXT.items() for x in kv])
-    return (hits.withColumn("pattern", pattern).filter(F.col("pattern").isNotNull())
-            .withColumn("_at", (at - 1).cast("int"))
-            .select("token", *extra, "pattern", F.get(F.col("bars"), F.col("_at"))["bucket"].alias("ts"),
-                    F.get(F.col("closes"), F.col("_at")).alias("price"),
-                    F.get(F.col("emas"), F.col("_at")).alias("ema50"),
-                    F.element_at(text, F.col("pattern")).alias("reason")))
-
-
 def features(candles: DataFrame, n: int = fixed.FETCH_CANDLES) -> DataFrame:
     """Chart features the daily engines read: position against highs, touches, rejections, trend riding."""
     h = with_ema(history(candles, n)).filter(F.col("n") >= fixed.MIN_CANDLES["A"])

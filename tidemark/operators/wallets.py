@@ -85,14 +85,14 @@ def wallet_pnl(trades: DataFrame) -> DataFrame:
     return p.withColumn("win_rate", F.coalesce(F.try_divide("winners", "closed"), F.lit(0.0)))
 
 
-def counterparties(trades: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` most traded counterparties of each wallet."""
+def counterparties(trades: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most traded counterparties of each wallet; the list is the feature, its length the caller's."""
     c = trades.groupBy("wallet", "counterparty").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value_usd"), 2).alias("volume"))
     w = W.partitionBy("wallet").orderBy(F.col("n").desc(), F.col("volume").desc(), "counterparty")
     return c.withColumn("rn", F.row_number().over(w).cast("bigint")).filter(F.col("rn") <= k)
 
 
-def leaderboard(pnl: DataFrame, k: int = 25) -> DataFrame:
+def leaderboard(pnl: DataFrame, k: int) -> DataFrame:
     """Best wallets by profit; ranks are numbered on the ``k`` rows that remain."""
     top = pnl.orderBy(F.col("pnl").desc(), "wallet").limit(k)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.col("pnl").desc(), "wallet")).cast("bigint"))

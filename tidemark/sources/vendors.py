@@ -73,12 +73,12 @@ def norm_token_list_short(raw: DataFrame, chain: str = "solana") -> DataFrame:
         nz("uniqueWallet24h").alias("holders"))
 
 
-def norm_trending(raw: DataFrame) -> DataFrame:
-    """Trending list with money as text; the chain is the platform, or unknown."""
+def norm_trending(raw: DataFrame, by_id: bool = False) -> DataFrame:
+    """Trending list with money as text; the chain is the platform, or unknown. ``by_id``: the dialect that tells the chain by the id."""
     i = raw.select(F.explode("coins.item").alias("i"))
     return i.select(
-        F.lit("trending").alias("source"), _text("i.platform_id", "unknown").alias("chain"), _text("i.contract_address").alias("address"),
-        _text("i.symbol", "???").alias("symbol"), _text("i.name", "Unknown").alias("name"),
+        F.lit("trending").alias("source"), (trending_chain(F.col("i.id")) if by_id else _text("i.platform_id", "unknown")).alias("chain"), _text("i.contract_address").alias("address"),
+        _text("i.symbol", "???").alias("symbol"), _text("i.name", "Unknown").alias("name"), tx.money(F.col("i.data.price")).alias("price"),
         tx.money(F.col("i.data.market_cap")).alias("market_cap"), tx.volume(F.col("i.data.total_volume")).alias("volume_24h"),
         _num("i.data.price_change_percentage_24h.usd").alias("change_24h"))
 
