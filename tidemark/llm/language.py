@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from tidemark.llm.batches import batch_words, mix
+from tidemark.llm.batches import batch_words, mix, sliced
 from tidemark.llm.common import read
 
 BUCKETS = 1 << 15
@@ -185,7 +185,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = known.count()
     share = min(1.0, sample / max(rows, 1))
     some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else known
-    counts = some.select("text", "lang").repartition(32).mapInArrow(_count, "lang string, counts binary")
+    counts = some.select("text", "lang").repartition(32).mapInArrow(sliced(_count), "lang string, counts binary")
     got = sorted((r["lang"], r["counts"]) for r in counts.groupBy("lang").applyInArrow(_add, "lang string, counts binary").collect())
     return Model([g[0] for g in got], [np.frombuffer(g[1], float) for g in got])
 
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
     packed = docs.select(F.struct("*").alias("doc"), F.col("text"))
     schema = StructType([StructField("doc", packed.schema["doc"].dataType), *_parse_datatype_string(
         f"lang_pred string, score double, lang_spans {SPANS}").fields])
-    return packed.mapInArrow(_predict(model, switch, ["doc"]), schema)
+    return packed.mapInArrow(sliced(_predict(model, switch, ["doc"])), schema)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
