@@ -15,7 +15,7 @@ from tidemark.llm.common import read
 
 WORD_BUCKETS, CHAR_BUCKETS = 8192, 4096
 SIZE = WORD_BUCKETS + CHAR_BUCKETS
-SAMPLE = 8000
+SAMPLE = 3000
 THRESHOLD = 0.35  # least calibrated probability of good quality
 SYMBOLS = b"#*$%&|<>"
 
@@ -87,14 +87,15 @@ class Model:
             return
         fit = np.arange(len(labels)) % 5 != 0  # a fifth is kept for the calibration
         y = labels.astype(float)
-        row, col, val = np.repeat(np.arange(len(y)), [len(a) for a in at]), np.concatenate(at), np.concatenate(value).astype(float)
+        row, col, val = np.repeat(np.arange(len(y), dtype=np.int32), [len(a) for a in at]), np.concatenate(at), np.concatenate(value)
         inside = fit[row]
+        r, c, x = row[inside], col[inside], val[inside]
         weigh = np.where(y > 0, 0.5 / max(y[fit].sum(), 1), 0.5 / max((1 - y[fit]).sum(), 1)) * fit
         w, bias, m, v = np.zeros(SIZE), 0.0, np.zeros(SIZE + 1), np.zeros(SIZE + 1)
         for t in range(1, steps + 1):
-            z = np.bincount(row[inside], val[inside] * w[col[inside]], len(y)) + bias
+            z = np.bincount(r, x * w[c], len(y)) + bias
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weigh
-            grad = np.append(np.bincount(col[inside], val[inside] * g[row[inside]], SIZE) + decay * w, g.sum())
+            grad = np.append(np.bincount(c, x * g[r], SIZE) + decay * w, g.sum())
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
             w, bias = w - step[:-1], bias - step[-1]
