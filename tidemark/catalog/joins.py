@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemark import bindings as b
 from tidemark.catalog.base import query, with_
-from tidemark.functions.values import ntz
 from tidemark.operators import joins as jn
 
 TRACKED_SQL = "tracked AS (SELECT c_custkey AS wallet FROM customer WHERE c_acctbal > 9000)"

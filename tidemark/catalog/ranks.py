@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from tidemark import bindings as b
 from tidemark.catalog.aggregates import UNIQUE_SQL
