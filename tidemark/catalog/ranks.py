@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from tidemark import bindings as b
 from tidemark.catalog.aggregates import UNIQUE_SQL
 from tidemark.catalog.base import query, with_
