@@ -74,3 +74,8 @@ def spread_min(df: DataFrame, key: str, value: str, by: Column, out: str) -> Dat
     """Least ``value`` within each key, found salt by salt first; one row for each key."""
     part = df.groupBy(key, F.pmod(F.xxhash64(by), F.lit(SALTS)).alias("salt")).agg(F.min(value).alias(out))
     return part.groupBy(key).agg(F.min(out).alias(out))
+
+
+def checked_broadcast(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """A narrow table marked for broadcast if it is counted to have at most so many rows; else as it is, for an ordinary join."""
+    return F.broadcast(df) if df.count() <= rows else df
