@@ -138,6 +138,27 @@ def test_passages(spark):
     assert passages.repeats(empty(spark)).count() == 0
 
 
+def numbered(seed, n):
+    rnd = random.Random(seed)
+    return [f"w{rnd.randrange(10**8)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("gap", [0, 3])
+def test_adjacent_passages_that_stand_apart_elsewhere(spark, gap):
+    one, two = numbered(1, 50), numbered(2, 50)
+    docs = [(1, two + numbered(3, 400) + one), (2, numbered(4, 30) + one + numbered(5, gap) + two + numbered(6, 30))]
+    got = passages.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id BIGINT, text STRING")).collect()
+    assert sorted((r.start, r.stop, r.other_start, r.other_stop) for r in got) == [(30, 80, 450, 500), (80 + gap, 130 + gap, 0, 50)]
+
+
+def test_every_place_of_a_repeat(spark):
+    one = numbered(1, 60)
+    twice, once = numbered(2, 40) + one + numbered(3, 500) + one + numbered(4, 40), numbered(5, 70) + one + numbered(6, 20)
+    for docs, column in (([(1, once), (2, twice)], "start"), ([(1, twice), (2, once)], "other_start")):
+        got = passages.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id BIGINT, text STRING")).collect()
+        assert {r[column] for r in got} == {40, 600} and all(r.doc_id == 2 and r.other_id == 1 for r in got)
+
+
 def likeness(x, y):
     x, y = shingles_case(x), shingles_case(y)
     return len(x & y) / len(x | y) if x | y else 1.0
