@@ -159,6 +159,25 @@ def test_every_place_of_a_repeat(spark):
         assert {r[column] for r in got} == {40, 600} and all(r.doc_id == 2 and r.other_id == 1 for r in got)
 
 
+def test_exact_repeats_behind_a_variant_of_smaller_id(spark):
+    docs = []
+    for g in range(40):
+        one = numbered(g, 60)
+        docs += [(g, numbered(1000 + g, 30) + [f"z{g}" if i % 13 == 6 else w for i, w in enumerate(one)]),
+                 (100 + g, numbered(2000 + g, 30) + one), (200 + g, one + numbered(3000 + g, 30))]
+    got = passages.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id BIGINT, text STRING")).collect()
+    assert {(r.other_id, r.doc_id) for r in got} == {(100 + g, 200 + g) for g in range(40)}
+
+
+def test_passages_among_documents_with_one_common_phrase(spark):
+    phrase, passage = numbered(1, 25), numbered(2, 30) + numbered(1, 25) + numbered(3, 30)
+    docs = [(i, numbered(100 + i, 60) + phrase + numbered(300 + i, 60)) for i in range(90)]
+    docs += [(i, numbered(100 + i, 40) + passage + numbered(300 + i, 40)) for i in (45, 77, 95)]
+    docs = list(dict(docs).items())
+    got = passages.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id BIGINT, text STRING")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(77, 45), (95, 45)} and all(r.start <= 40 and r.stop >= 125 for r in got)
+
+
 def likeness(x, y):
     x, y = shingles_case(x), shingles_case(y)
     return len(x & y) / len(x | y) if x | y else 1.0
