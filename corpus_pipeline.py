@@ -1,6 +1,6 @@
 """The training-data pipeline: stages over ``documents``, each written and read again before the next.
 
-Language identification drops texts without a language, near-duplicate search keeps one document of each group,
+Language identification drops texts without a language, near-duplicate search keeps one document of each group by five-word shingles,
 personal data is replaced by its kind, sources are mixed to their target weights, and the result is packed into
 sequences of 4096 tokens. All stages but the last return the columns of their input.
 """
@@ -18,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_first(docs)
+    return near_dedup.keep_first(docs, n=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

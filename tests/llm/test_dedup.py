@@ -93,6 +93,18 @@ def test_keep_first(spark):
     assert near_dedup.keep_first(empty(spark)).count() == 0 and near_dedup.link(empty(spark)).count() == 0
 
 
+def test_pipeline_stage_takes_five_words(spark):
+    import corpus_pipeline
+
+    data = families(5)
+    base = numbered(7, 200)
+    data += [(500, " ".join(base)), (501, " ".join(f"q{i}" if i % 20 == 10 else w for i, w in enumerate(base)))]  # 0.82 of two-word, 0.6 of five-word shingles
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    got = {r.doc_id for r in stage(spark, spark.createDataFrame(data, "doc_id BIGINT, text STRING"), "").collect()}
+    assert got == {i for i, (_, c) in brute_components(data, 5).items() if c == i} and {500, 501} <= got
+    assert brute_components(data)[501][1] == 500
+
+
 def test_connected(spark):
     path = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(2, 40)] + [(500, 501), (501, 500), (7, 7)]
     got = {r.id: r.root for r in connected(spark.createDataFrame(path, "a BIGINT, b BIGINT")).collect()}

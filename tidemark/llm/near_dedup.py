@@ -352,12 +352,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirm(percent), "a long, b long")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id; all columns as they were.
+def keep_first(docs: DataFrame, n: int = 2) -> DataFrame:
+    """One document of each group of near duplicates by ``n``-word shingles, that with the smallest doc_id; all columns as they were.
 
     Of rows that repeat a doc_id one stays, the first by hash of its text. Rows without doc_id all stay.
     """
-    dropped = stored(link(docs).filter("NOT kept").select("doc_id").distinct(), "near-dropped")
+    dropped = stored(link(docs, n).filter("NOT kept").select("doc_id").distinct(), "near-dropped")
     again = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-repeated")
     left = docs.join(dropped, "doc_id", "left_anti").select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
