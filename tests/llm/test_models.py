@@ -162,3 +162,9 @@ def test_word_windows():
     assert words == [t.encode().lower().split() if t else [] for t in texts.to_pylist()]
     batch = pa.RecordBatch.from_arrays([pa.array(["xx", None, "y" * 9, "", "z"])], ["text"])
     assert [b.num_rows for b in slices(batch, most=4)] == [2, 1, 2]
+
+
+def test_oracle_sql_is_text():
+    import __spark_entry__
+
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())

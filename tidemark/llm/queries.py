@@ -21,6 +21,5 @@ SQL = {
     "op1_warc": warc.SQL,
     "op2_source_mix": mixing.SQL,
     "op5_pii": pii.SQL,
-    "op7_lm_score": lm.op7_lm_score,
     "op8_near_dedup": near_dedup.SQL,
 }
