@@ -81,6 +81,6 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = 6 << 20) -> It
         at = stop
 
 
-def sliced(work, name: str = "text"):
+def sliced(work, name: str = "text", most: int = 6 << 20):
     """A function of batches that gets them in ``slices``."""
-    return lambda batches: work(part for batch in batches for part in slices(batch, name))
+    return lambda batches: work(part for batch in batches for part in slices(batch, name, most))

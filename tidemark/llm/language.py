@@ -146,16 +146,18 @@ def viterbi(scores: np.ndarray, codes: np.ndarray, offsets: np.ndarray, switch:
 
 
 SPANS = "array<struct<lang:string,start:int,stop:int>>"
+SLICE = 2 << 20  # bytes of text whose words and n-grams are held at once
 
 
-def _predict(model: Model, switch: float, rest: list[str]):
+def _predict(model: Model, switch: float, with_spans: bool):
     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, langs = batch.num_rows, model.langs
             offsets, codes, distinct = batch_words(batch.column("text"), lower=True)
-            pred, score, spans = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
+            pred, score, starts, firsts = ["und"] * n, np.zeros(n), np.zeros(0, np.int64), np.zeros(n + 1, np.int32)
+            label, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if distinct and langs:
                 scripts = word_scripts(distinct)
                 label = viterbi(model.word_scores(distinct, scripts), codes, offsets, switch)
@@ -165,12 +167,16 @@ def _predict(model: Model, switch: float, rest: list[str]):
                 total, best = votes.sum(axis=1), votes.argmax(axis=1)
                 score = np.where(total > 0, votes.max(axis=1) / np.maximum(total, 1), 0.0)
                 pred = [langs[b] if t else "und" for b, t in zip(best, total, strict=True)]
-                cut = np.flatnonzero(np.append(True, (np.diff(label) != 0) | (np.diff(doc) != 0))) if len(doc) else np.zeros(0, int)
-                for a, b in zip(cut, np.append(cut[1:], len(label)), strict=True):
-                    d = doc[a]
-                    spans[d].append({"lang": langs[label[a]], "start": a - offsets[d], "stop": b - offsets[d]})
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                                              pa.array(spans, kind)], [*rest, "lang_pred", "score", "lang_spans"])
+            arrays = [batch.column("doc"), batch.column("text"), pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+            if with_spans:
+                if len(label):
+                    starts = np.flatnonzero(np.append(True, (np.diff(label) != 0) | (np.diff(doc) != 0)))
+                    firsts = np.searchsorted(doc[starts], np.arange(n + 1)).astype(np.int32)
+                base = offsets[doc[starts]]
+                own = pa.StructArray.from_arrays([pa.array(langs, pa.string()).take(pa.array(label[starts])), pa.array((starts - base).astype(np.int32)),
+                                                  pa.array((np.append(starts[1:], len(label))[:len(starts)] - base).astype(np.int32))], fields=list(kind.value_type))
+                arrays.append(pa.ListArray.from_arrays(pa.array(firsts), own).cast(kind))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc", "text", "lang_pred", "score", "lang_spans"][:len(arrays)])
     return predict
 
 
@@ -185,34 +191,36 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = known.count()
     share = min(1.0, sample / max(rows, 1))
     some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else known
-    counts = some.select("text", "lang").repartition(32).mapInArrow(sliced(_count), "lang string, counts binary")
+    counts = some.select("text", "lang").repartition(32).mapInArrow(sliced(_count, most=SLICE), "lang string, counts binary")
     got = sorted((r["lang"], r["counts"]) for r in counts.groupBy("lang").applyInArrow(_add, "lang string, counts binary").collect())
     return Model([g[0] for g in got], [np.frombuffer(g[1], float) for g in got])
 
 
-def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """Rows (doc, lang_pred, score, lang_spans): ``doc`` is the struct of all columns of a document.
+def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = True) -> DataFrame:
+    """Rows (doc, text, lang_pred, score, lang_spans): ``doc`` is the struct of all columns of a document but its text.
 
     Words are lower-cased runs of non-blank bytes, scored by their byte n-grams under each language whose scripts they
     may be in. ``lang_pred`` is the language of most words with letters, ``score`` its share of them, ``lang_spans`` the
-    spans of words (stop exclusive) by language. Null, blank and letterless texts, and all texts where nothing was
+    spans of words (stop exclusive) by language, left out unless ``spans``. Null, blank and letterless texts, and all texts where nothing was
     learned, are ``und`` with score 0. Equal votes go to the language first in code point order. Every row is
     predicted on its own, repeated rows alike; extra columns stay inside ``doc``.
     """
-    packed = docs.select(F.struct("*").alias("doc"), F.col("text"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(None).cast("string").alias("none")]
+    packed = docs.select(F.struct(*rest).alias("doc"), F.col("text"))
     schema = StructType([StructField("doc", packed.schema["doc"].dataType), *_parse_datatype_string(
-        f"lang_pred string, score double, lang_spans {SPANS}").fields])
-    return packed.mapInArrow(sliced(_predict(model, switch, ["doc"])), schema)
+        "text string, lang_pred string, score double" + (f", lang_spans {SPANS}" if spans else "")).fields])
+    return packed.mapInArrow(sliced(_predict(model, switch, spans), most=SLICE), schema)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """Documents of ``docs`` whose language is told with at least that share of the words; all columns as they were."""
-    found = identify(docs, learn(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc.*")
+    found = identify(docs, learn(docs), spans=False)
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
     """Predicted language of all documents: doc_id, held_out, lang_pred, score."""
     docs = read(spark, sf_dir, "documents")
-    found = identify(docs.select("doc_id", "text"), learn(docs))
+    found = identify(docs.select("doc_id", "text"), learn(docs), spans=False)
     return found.select("doc.doc_id", F.coalesce(held_out(F.col("doc.doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
