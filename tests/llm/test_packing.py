@@ -10,14 +10,12 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tidemark.llm import packing
 
-ODD = ["", " ", "a\x1cb it's I'LL don't <|endoftext|> x", "Éé’s ÀÀ é İI ΣΑΣ ß ﬁ 12a3.4  x　y, 你好! +1 (2) ;:?!", "ª º × ÷ µ½ z", "A.!! b--c ''", None]
+ODD = ["", " ", "a\x1cb it's I'LL don't <|endoftext|> x", "Éé’s ÀÀ é İI ΣΑΣ ß ﬁ 12a3.4  x　y, 你好! +1 (2) ;:?!", "ª º × ÷ µ½ z", "A.!! b--c ''", "a<|endoftext|>b <|STARTOFTEXT|>c.<|startoftext|> <|endoftext|>", None]
 
 
 @pytest.fixture(scope="module")
 def full():
-    t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.tokenizer_path())
 
 
 def test_ids_are_the_tokenizers(full):

@@ -41,7 +41,6 @@ class _Runs:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.full, self.light = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.full.encode_special_tokens = self.light.encode_special_tokens = True
         self.light.normalizer = normalizers.Lowercase()
         self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(
             add_prefix_space=False, trim_offsets=True, use_regex=False)])
@@ -90,7 +89,8 @@ def encode_words(distinct: list[bytes], path: str) -> tuple[np.ndarray, np.ndarr
 
     No rule of the tokenizer looks across white space. A run of plain letters is one pre-token, and so is a run of
     punctuation after it; each ends in a token with an end mark, so many runs are encoded as one text, and a worker
-    keeps up to those of ``KNOWN_WORDS`` words. Words of any other form go through the tokenizer one by one.
+    keeps up to those of ``KNOWN_WORDS`` words. Words of any other form, those that hold an added token of the
+    tokenizer among them, go through it one by one.
     """
     import re
 
@@ -126,14 +126,14 @@ def encode_words(distinct: list[bytes], path: str) -> tuple[np.ndarray, np.ndarr
     return ids, begin, sizes
 
 
-def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
+def encode_texts(texts: pa.Array, path: str, end: int = END_ID) -> list[np.ndarray]:
     """Ids of each text with the end id; words are encoded once per batch."""
     offsets, codes, distinct = batch_words(texts, lower=False)
     ids, begin, sizes = encode_words(distinct, path)
     out = []
     for i in range(len(offsets) - 1):
         c = codes[offsets[i]:offsets[i + 1]]
-        out.append(np.append(ids[ragged(begin[c], sizes[c])], np.uint32(END_ID)))
+        out.append(np.append(ids[ragged(begin[c], sizes[c])], np.uint32(end)))
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import fingerprints, language, lm, mixing, near_dedup, packing, passages, pii, quality, warc
+from tidemark.llm import fingerprints, language, lm, mixing, near_dedup, packing, passages, pii, quality, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_quality": quality.op9_quality,
     "op10_language": language.op10_language,
+    "op13_token_files": token_files.op13_token_files,
 }
 
 SQL = {
