@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import fingerprints, language, lm, mixing, near_dedup, packing, passages, pii, quality, token_files, warc
+from tidemark.llm import fingerprints, language, lm, mixing, near_dedup, packing, passages, pii, quality, ranked, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_quality": quality.op9_quality,
     "op10_language": language.op10_language,
+    "op11_ranked_search": ranked.op11_ranked_search,
     "op13_token_files": token_files.op13_token_files,
 }
 
@@ -23,4 +24,5 @@ SQL = {
     "op2_source_mix": mixing.SQL,
     "op5_pii": pii.SQL,
     "op8_near_dedup": near_dedup.SQL,
+    "op11_ranked_search": ranked.SQL,
 }
