@@ -50,7 +50,7 @@ def word_grams(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the byte n-grams of each word with a mark at both ends, one after the other, and the word of each."""
     flat = np.frombuffer(b" " + b" ".join(distinct) + b" ", np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-    word = np.append(np.repeat(np.arange(len(distinct)), sizes + 1), -1)  # the blank in front counts as the word's
+    word = np.append(np.repeat(np.arange(len(distinct), dtype=np.int32), sizes + 1), np.int32(-1))  # the blank in front counts as the word's
     grams, owner, code = [], [], np.zeros(len(flat), np.uint64)
     edge = flat == 32
     for n in range(1, max(GRAMS) + 1):
@@ -64,7 +64,7 @@ def word_grams(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 inner |= edge[i:i + m]
             ok = ~inner & (~edge[:m] if n == 1 else ~(edge[:m] & edge[n - 1:n - 1 + m]))
             at = np.flatnonzero(ok)
-            grams.append((mix(code[at] + np.uint64(n << 40)) % np.uint64(BUCKETS)).astype(np.int64))
+            grams.append((mix(code[at] + np.uint64(n << 40)) % np.uint64(BUCKETS)).astype(np.int32))
             owner.append(word[at])
     return np.concatenate(grams), np.concatenate(owner)
 

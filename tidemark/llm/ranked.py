@@ -216,8 +216,9 @@ def _block(docs: DataFrame, asked: list, k: int) -> DataFrame:
     vectors = stored(vectors.filter("norm > 0").repartitionByRange(*order).sortWithinPartitions(*order), "ranked-vectors")
     border = vectors.approxQuantile("norm", [1 - 1 / HEAD], 0.25 / HEAD)
     border = border[0] if border else 0.0
+    spread = max(2, spark.sparkContext.defaultParallelism)
     search = _search(items, weights, k, np.zeros(len(items), np.int64))
-    head = stored(_ranked(vectors.filter(F.col("norm") >= border).mapInArrow(search, FOUND), k), "ranked-head")
+    head = stored(_ranked(vectors.filter(F.col("norm") >= border).repartition(spread, F.xxhash64("doc_id")).mapInArrow(search, FOUND), k), "ranked-head")
     least = np.zeros(len(items), np.int64)
     for r in head.filter(F.col("rank") == k).select("item", "score").toLocalIterator():
         least[r["item"]] = r["score"]
