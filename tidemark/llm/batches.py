@@ -83,4 +83,8 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = 6 << 20) -> It
 
 def sliced(work, name: str = "text", most: int = 6 << 20):
     """A function of batches that gets them in ``slices``."""
-    return lambda batches: work(part for batch in batches for part in slices(batch, name, most))
+    def parts(batches):
+        for batch in batches:
+            yield from slices(batch, name, most)
+            pa.default_memory_pool().release_unused()  # else a worker keeps the most that any batch took
+    return lambda batches: work(parts(batches))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from tidemark.llm.batches import batch_words, mix, sliced
-from tidemark.llm.common import read
+from tidemark.llm.common import modest_batches, read
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
@@ -146,7 +146,7 @@ def viterbi(scores: np.ndarray, codes: np.ndarray, offsets: np.ndarray, switch:
 
 
 SPANS = "array<struct<lang:string,start:int,stop:int>>"
-SLICE = 2 << 20  # bytes of text whose words and n-grams are held at once
+SLICE = 1 << 20  # bytes of text whose words and n-grams are held at once
 
 
 def _predict(model: Model, switch: float, with_spans: bool):
@@ -187,7 +187,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows (all, where there are fewer). Counts are summed by language in Spark; the driver gets one row of
     32,779 sums for each language. Null languages, null texts and documents without id are not learned from.
     """
-    known = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = modest_batches(docs).select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = known.count()
     share = min(1.0, sample / max(rows, 1))
     some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else known
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool
     predicted on its own, repeated rows alike; extra columns stay inside ``doc``.
     """
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(None).cast("string").alias("none")]
-    packed = docs.select(F.struct(*rest).alias("doc"), F.col("text"))
+    packed = modest_batches(docs).select(F.struct(*rest).alias("doc"), F.col("text"))
     schema = StructType([StructField("doc", packed.schema["doc"].dataType), *_parse_datatype_string(
         "text string, lang_pred string, score double" + (f", lang_spans {SPANS}" if spans else "")).fields])
     return packed.mapInArrow(sliced(_predict(model, switch, spans), most=SLICE), schema)

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.batches import batch_words, mix, shingle_hashes, word_hashes
-from tidemark.llm.common import checked_broadcast, read, spread_join, stored
+from tidemark.llm.batches import batch_words, mix, shingle_hashes, sliced, word_hashes
+from tidemark.llm.common import checked_broadcast, modest_batches, read, spread_join, stored
 from tidemark.llm.components import connected
 
 POSITIONS = 128
@@ -29,6 +29,7 @@ SMALL = 256
 SMALL_MIXED = 2048
 SLACK = 0.18
 TREE_BITS, SLOTS = 15, 4
+SLICE = 2 << 20  # bytes of text whose words are held at once
 
 
 def doc_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -280,9 +281,9 @@ def link(docs: DataFrame, n: int = 2, percent: int = 80, trees: int = TREES, sma
     Null or blank texts have an empty set and are linked with nothing. Rows without doc_id are linked with nothing and
     kept. Repeated rows share their component. Other columns are not read; an empty table gives no rows.
     """
-    own = docs.select("doc_id", "text")
+    own = modest_batches(docs).select("doc_id", "text")
     least = int((percent / 100 - SLACK) * POSITIONS)
-    described = stored(own.mapInArrow(_describe(n), "doc_id long, n_shingles long, sid long, sketch binary"), "near-described")
+    described = stored(own.mapInArrow(sliced(_describe(n), most=SLICE), "doc_id long, n_shingles long, sid long, sketch binary"), "near-described")
     real = described.filter("sid IS NOT NULL AND doc_id IS NOT NULL")
     unique = stored(real.groupBy("sid").agg(F.min("doc_id").alias("first_doc"), F.first("sketch").alias("sketch")), "near-unique")
     recs = stored(unique.select("sid", "sketch").mapInArrow(_paths(trees, LEVELS, False), "key long, sid long"), "near-paths")
@@ -342,7 +343,7 @@ def _mixed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def _full_sets(own: DataFrame, unique: DataFrame, marked: DataFrame, n: int) -> DataFrame:
     """Full sets (sid, shingles) of the marked documents; their texts are read once more."""
     wanted = stored(unique.join(marked, "sid", "left_semi").select("sid", F.col("first_doc").alias("doc_id")), "near-wanted")
-    return own.join(checked_broadcast(wanted), "doc_id").select("sid", "text").mapInArrow(_sets(n), "sid long, shingles binary").dropDuplicates(["sid"])
+    return own.join(checked_broadcast(wanted), "doc_id").select("sid", "text").mapInArrow(sliced(_sets(n), most=SLICE), "sid long, shingles binary").dropDuplicates(["sid"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import batch_words, sliced
-from tidemark.llm.common import read, running, stored
+from tidemark.llm.common import modest_batches, read, running, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -278,7 +278,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     task; the plan that meets them has at most a few thousand patterns, whatever the number of documents. Repeated rows
     are packed as separate documents, documents without id too. An empty table gives no rows. Other columns are not read.
     """
-    cut = stored(docs.select("doc_id", "text").mapInArrow(sliced(_pieces(path or tokenizer_path(), capacity)), PIECES), "pieces")
+    cut = stored(modest_batches(docs).select("doc_id", "text").mapInArrow(sliced(_pieces(path or tokenizer_path(), capacity)), PIECES), "pieces")
     histogram = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most one row per length
     table = slots(plan(histogram["length"].to_numpy(), histogram["n"].to_numpy(), capacity))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1024)))
