@@ -24,7 +24,7 @@ CAPACITY = 4096
 END_ID = 1
 PLAIN = r"[a-zß-öø-ÿ]+"
 TRAILING = ".,!*$%#&|;:?"
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 FULL = 0.995  # a pattern of the program is used when it fills that share of a sequence; the rest is packed best-fit
 
 

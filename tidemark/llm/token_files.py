@@ -27,7 +27,8 @@ from tidemark.session import shared_dir
 
 LENGTH = 2048  # ids of a sequence
 ROWS = 256  # sequences of a batch
-FILE_IDS = 1 << 22  # a file is closed by the document that brings it to so many ids
+FILE_IDS = 1 << 21  # a file is closed by the document that brings it to so many ids
+SLICE = 2 << 20  # bytes of text that are encoded at once
 # Fixed value: the magic that an Arrow file ends with.
 MAGIC = "ARROW1"
 
@@ -148,7 +149,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 1
     order = [F.col("doc_id").asc_nulls_last(), F.col("h"), F.col("pos")]
     own = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text")).withColumn("pos", F.monotonically_increasing_id())
     ranged = own.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
-    files = ranged.mapInArrow(sliced(_files(tokenizer, end, kind, length, rows, file_ids)), "data binary")
+    files = ranged.mapInArrow(sliced(_files(tokenizer, end, kind, length, rows, file_ids), most=SLICE), "data binary")
     (files.select(F.col("data").cast("string").alias("value")).write
      .option("lineSep", MAGIC).option("maxRecordsPerFile", 1).option("compression", "none").text(path))
 
