@@ -37,7 +37,7 @@ READ = "part int, number int, doc_id long, at long, n_tokens long, ids_crc32 lon
 
 def schema(length: int, kind: pa.DataType, notes: dict[str, str] | None = None) -> pa.Schema:
     """Columns of a file with sequences of ``length`` ids; ``notes`` become the file's metadata."""
-    return pa.schema([pa.field("ids", pa.list_(kind, length), False), pa.field("mask", pa.list_(pa.uint8(), length), False),
+    return pa.schema([pa.field("ids", pa.list_(kind, length), False), pa.field("mask", pa.list_(pa.bool_(), length), False),
                       pa.field("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int32())])), False)], metadata=notes or {})
 
 
@@ -46,14 +46,13 @@ def file_bytes(doc_ids: list[int | None], texts: list[np.ndarray], kind: pa.Data
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     total, starts = int(sizes.sum()), np.cumsum(sizes) - sizes
     n = -(-total // length)
-    ids, mask = np.zeros(n * length, kind.to_pandas_dtype()), np.zeros(n * length, np.uint8)
+    ids = np.zeros(n * length, kind.to_pandas_dtype())
     np.concatenate(texts, out=ids[:total], casting="same_kind")
-    mask[:total] = 1
     form = schema(length, kind, notes)
     first = np.searchsorted(starts, np.arange(n + 1) * length).astype(np.int32)  # the first document that begins in each row
     docs = pa.ListArray.from_arrays(pa.array(first), pa.StructArray.from_arrays(
         [pa.array(doc_ids, pa.int64()), pa.array((starts % length).astype(np.int32))], fields=list(form.field("docs").type.value_type)))
-    whole = pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length),
+    whole = pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(np.arange(n * length) < total), length),
                                         docs.cast(form.field("docs").type)], schema=form)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_file(sink, form) as out:
@@ -75,23 +74,25 @@ class Sequences:
     def __len__(self) -> int:
         return self.n
 
-    def batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and masks of batch ``k``, a row for each sequence."""
+    def batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """All ids and mask bits of batch ``k``, sequence after sequence."""
         b = self.file.get_batch(k)
-        return tuple(b.column(c).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.length) for c in ("ids", "mask"))
+        return b.column("ids").flatten().to_numpy(zero_copy_only=True), b.column("mask").flatten()
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids of sequence ``i`` and its mask, a bit for each id."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         ids, mask = self.batch(i // self.rows)
-        return ids[i % self.rows], mask[i % self.rows]
+        at = i % self.rows * self.length
+        return ids[at:at + self.length], mask.slice(at, self.length)
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, position of its first id in the file, ids) in order; a document in one batch is a view."""
         open_: tuple | None = None
         for k in range(self.file.num_record_batches):
-            ids, mask = (x.reshape(-1) for x in self.batch(k))
-            ids, base = ids[:int(mask.sum())], k * self.rows * self.length
+            ids, mask = self.batch(k)
+            ids, base = ids[:mask.true_count], k * self.rows * self.length
             docs = self.file.get_batch(k).column("docs")
             row = np.repeat(np.arange(len(docs)), np.diff(np.asarray(docs.offsets)))
             inner = docs.flatten()
