@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import fingerprints, language, lm, mixing, near_dedup, packing, passages, pii, quality, ranked, token_files, warc
+from tidemark.llm import fingerprints, language, lm, mixing, near_dedup, packing, passages, pii, quality, ranked, token_files, variants, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_language": language.op10_language,
     "op11_ranked_search": ranked.op11_ranked_search,
+    "op12_spelling_variants": variants.op12_spelling_variants,
     "op13_token_files": token_files.op13_token_files,
 }
 
