@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.catalog.agents import STATUS_SQL, updates
 from tidemark.catalog.base import query, with_
 from tidemark.session import shared_dir
+from tidemark.streaming import sinks
 from tidemark.streaming import stateful as st
 from tidemark.streaming import windows as wi
 
@@ -133,6 +135,46 @@ def stream_expiry(spark, sf):
     return wi.run_available(st.deadlines(o, "BIGINT"), "stream_expiry")
 
 
+ALERT_DAYS = ("ts < TIMESTAMP '2024-01-11'", "ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-21'", "ts >= TIMESTAMP '2024-01-21'")
+
+
+def delivered(spark, sf, kind, name):
+    """Events of one kind (of all without) as a stream over a folder that gets a new part before each run."""
+    e = spark.read.parquet(f"{sf}/{EVENTS}")
+    e = (e.filter(F.col("event_type") == kind) if kind else e).withColumn("ts", F.col("ts").cast("timestamp"))
+    return e, shared_dir(spark, name)
+
+
+@query("stream_alert_sink", f"""SELECT user_id AS wallet, ts::DATE AS day, CASE WHEN {ALERT_DAYS[0]} THEN 0 WHEN {ALERT_DAYS[2]} THEN 2 ELSE 1 END AS batch_id,
+  min(event_id) AS event_id, count(*) AS stored FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS rn FROM events
+  WHERE event_type = 'error') WHERE rn = 1 GROUP BY ALL""")
+def stream_alert_sink(spark, sf):
+    """Three batches into the alert table, one alert per wallet and day, then all of them a second time by a query that lost its checkpoint."""
+    e, path = delivered(spark, sf, "error", "alert-events")
+    table = shared_dir(spark, "alert-table")
+    for again in (False, True):
+        checkpoint, source = shared_dir(spark, "alert-checkpoint"), path if not again else shared_dir(spark, "alert-again")
+        for folder in sinks.parts(e.select("user_id", "ts", "event_id"), source, [F.expr(c) for c in ALERT_DAYS]):
+            s = spark.readStream.schema("user_id BIGINT, ts TIMESTAMP, event_id BIGINT").parquet(folder)
+            alerts = s.select(F.col("user_id").alias("wallet"), F.to_date("ts").alias("on_day"), "ts", "event_id")
+            sinks.alert_sink(alerts, table, checkpoint, ["wallet", "on_day"], "ts", ["event_id"])
+    t = spark.read.parquet(table).groupBy("wallet", "day", "batch_id").agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("stored"))
+    return t.withColumn("batch_id", F.col("batch_id").cast("int"))
+
+
+@query("stream_state_upsert", with_(STATUS_SQL) + "SELECT agent, status, last_heartbeat, last_activity FROM latest")
+def stream_state_upsert(spark, sf):
+    """The newest state of every agent from batches that are out of order, the first of them delivered twice."""
+    table, checkpoint, source = (shared_dir(spark, f"state-{x}") for x in ("table", "checkpoint", "events"))
+    up = updates(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    turn = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for folder in sinks.parts(up, source, [turn == 2, turn == 0, turn == 2, turn == 1]):
+        s = spark.readStream.schema(up.schema).parquet(folder)
+        sinks.state_sink(s, table, checkpoint, "agent", "ts", "event_id", buckets=8)
+    t = spark.read.parquet(table)
+    return t.select("agent", "status", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_heartbeat", "last_activity")])
+
+
 @query("stream_late_data", f"""SELECT key, bucket, n FROM (SELECT event_type AS key, {bucket(1)} AS bucket, count(*) AS n FROM events
   WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1, 2), (SELECT epoch_us(max(ts)) // 1000 - 1800000 AS w FROM events) WHERE epoch_ms(bucket) + 3600000 <= w""")
 def stream_late_data(spark, sf):

@@ -15,7 +15,15 @@ def latest_state(updates: DataFrame, key: str, ts: str, tie: str, working: str =
     return (updates.groupBy(key)
             .agg(F.max(F.struct(ts, tie, *rest)).alias("s"),
                  F.max(F.when(F.col("status") == working, F.col(ts))).alias("last_activity"))
-            .select(key, F.col(f"s.{ts}").alias("last_heartbeat"), *[F.col(f"s.{c}").alias(c) for c in rest], "last_activity"))
+            .select(key, F.col(f"s.{ts}").alias("last_heartbeat"), F.col(f"s.{tie}").alias(tie), *[F.col(f"s.{c}").alias(c) for c in rest], "last_activity"))
+
+
+def merge_states(states: DataFrame, key: str, tie: str) -> DataFrame:
+    """One row per key of several results of ``latest_state``, those with the tie column kept: the newest row, and the newest activity of all."""
+    rest = [c for c in states.columns if c not in (key, "last_heartbeat", tie, "last_activity")]
+    newest = F.max_by(F.struct("last_heartbeat", tie, *rest), F.struct("last_heartbeat", tie))
+    merged = states.groupBy(key).agg(newest.alias("s"), F.max("last_activity").alias("last_activity"))
+    return merged.select(key, F.col("s.last_heartbeat").alias("last_heartbeat"), F.col(f"s.{tie}").alias(tie), *[F.col(f"s.{c}").alias(c) for c in rest], "last_activity")
 
 
 def agent_health(status: DataFrame, as_of: Column) -> DataFrame:
