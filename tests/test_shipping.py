@@ -7,11 +7,11 @@ import sys
 import pytest
 from pyspark import cloudpickle
 
-from tidemark.operators import monitors
+from tidemark.operators import cooldowns
 from tidemark.streaming import stateful
 
 
-@pytest.mark.parametrize("thing", [monitors._emit(["k"], 60), stateful.Cooldown(1), stateful.Hysteresis(1, 2), stateful.EmaMonitor(5, "cross"),
+@pytest.mark.parametrize("thing", [cooldowns._replayed(["k"], ["k", "sec"], 60), stateful.Cooldown(1), stateful.Hysteresis(1, 2), stateful.EmaMonitor(5, "cross"),
                                    stateful.Heartbeat(5), stateful.Deadline()], ids=lambda t: type(t).__name__)
 def test_loads_without_the_package(thing, tmp_path):
     (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(thing))

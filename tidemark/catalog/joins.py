@@ -153,6 +153,31 @@ def wallet_similarity(spark, sf):
     return jn.similar_wallets(b.trades(spark, sf, wallets=True), 7)
 
 
+SETS_SQL = """
+held AS (SELECT DISTINCT o_custkey AS wallet, l_suppkey AS token FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= TIMESTAMP '2000-06-01'),
+own AS (SELECT wallet, list(token ORDER BY token) AS tokens FROM held GROUP BY wallet),
+rep AS (SELECT min(wallet) AS rep, count(*) AS copies, len(tokens) AS n, tokens FROM own GROUP BY tokens)"""
+
+
+def traded_sets(spark, sf):
+    return jn.wallet_sets(b.trades(spark, sf, token="l_suppkey", wallets=True, since=b.SUPPLY_FROM))
+
+
+@query("wallet_similarity_pairs", with_(SETS_SQL, """
+each AS (SELECT rep, n, unnest(tokens) AS token FROM rep),
+pairs AS (SELECT a.rep AS wallet_a, b.rep AS wallet_b, count(*) AS shared, a.n + b.n - count(*) AS whole FROM each a JOIN each b ON a.token = b.token AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n)""") + "SELECT wallet_a, wallet_b, shared, shared / whole AS jaccard FROM pairs WHERE 100 * shared >= 50 * whole")
+def wallet_similarity_pairs(spark, sf):
+    """Wallets with similar trading patterns without naming one; wallets of equal sets are one."""
+    return jn.similar_pairs(traded_sets(spark, sf)[0])
+
+
+@query("wallet_set_classes", with_(SETS_SQL) + "SELECT wallet, rep FROM own JOIN rep USING (tokens)")
+def wallet_set_classes(spark, sf):
+    """The wallet that stands for each wallet's token set in ``wallet_similarity_pairs``."""
+    return traded_sets(spark, sf)[1]
+
+
 @query("price_asof_trade", """
 SELECT token, order_id, line_no, price, entry FROM (SELECT *, last_value(bought IGNORE NULLS) OVER
     (PARTITION BY token ORDER BY ts, side_no, o1, o2, o3 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS entry FROM (

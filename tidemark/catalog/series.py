@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import bindings as b
 from tidemark import fixed
 from tidemark.catalog.base import query, with_
+from tidemark.operators import averages
 from tidemark.operators import candles as cd
 from tidemark.operators import monitors as mon
 from tidemark.operators import sliced
@@ -71,6 +72,20 @@ def ema_series_padded(spark, sf):
     return x.select("token", F.col("x.bars.bucket").alias("bucket"), F.round("x.emas", 6).alias("ema50"))
 
 
+LONG_EMA = """
+pos AS (SELECT event_type AS key, event_id, value AS c, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
+seed AS (SELECT key, sum(c) / 50 AS e FROM pos WHERE i <= 50 GROUP BY key HAVING count(*) = 50),
+ema(key, i, e) AS (SELECT key, 50::BIGINT, e FROM seed UNION ALL
+      SELECT p.key, p.i, (p.c - r.e) * (2.0::DOUBLE / 51) + r.e FROM ema r JOIN pos p ON p.key = r.key AND p.i = r.i + 1)"""
+
+
+@query("ema_long_series", with_(LONG_EMA) + "SELECT key, event_id, i AS idx, round(e, 6) AS ema50 FROM ema JOIN pos USING (key, i)")
+def ema_long_series(spark, sf):
+    """The average over all checks of a key, not only over those of a fetched window."""
+    s = averages.ema_series(event_checks(spark, sf), ["key"], ["ts", "event_id"], "price")
+    return s.filter(F.col("ema").isNotNull()).select("key", "event_id", "idx", F.round("ema", 6).alias("ema50"))
+
+
 @query("sma50", with_(BARS) + """
 SELECT token, bucket, CASE WHEN count(c) OVER w = 50 THEN round(avg(c) OVER w, 6) END AS sma50 FROM bars
 WINDOW w AS (PARTITION BY token ORDER BY bucket ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""")

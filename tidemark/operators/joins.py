@@ -103,3 +103,40 @@ def similar_wallets(trades: DataFrame, wallet) -> DataFrame:
     return (per.join(F.broadcast(size))  # one row
             .withColumn("jaccard", F.col("shared") / (F.col("n") + F.col("own") - F.col("shared")))
             .select("wallet", "shared", "jaccard"))
+
+
+def wallet_sets(trades: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct token sets (rep, copies, n, tokens) with the least wallet that holds each, and (wallet, rep) for every wallet.
+
+    ``tokens`` is in one order for all sets: tokens that few wallets hold first, then by token. A set has each token once, so a wallet with most of
+    the trades is as long as the list of tokens.
+    """
+    held = trades.select("wallet", "token").filter("wallet IS NOT NULL AND token IS NOT NULL").distinct()
+    common = held.groupBy("token").agg(F.count(F.lit(1)).alias("holders"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("holders", "token"))), lambda x: x["token"])
+    sets = held.join(common, "token").groupBy("wallet").agg(ordered.alias("tokens"))
+    classes = sets.groupBy("tokens").agg(F.min("wallet").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    members = sets.join(classes.select("tokens", "rep"), "tokens").select("wallet", "rep")
+    return classes.select("rep", "copies", F.size("tokens").alias("n"), "tokens"), members
+
+
+def similar_pairs(sets: DataFrame, percent: int = 50) -> DataFrame:
+    """All pairs of ``sets`` (see ``wallet_sets``) whose Jaccard similarity is at least ``percent`` in a hundred: wallet_a < wallet_b, shared, jaccard.
+
+    Exact. Two sets that similar share a token among their rarest ones: of n tokens the first n - ceil(n * percent / 100) + 1, so sets meet
+    by those alone. Where they meet, they are kept only if their sizes allow the similarity, if enough tokens are left
+    behind the place where they meet, and if it is the first token they share; then the whole sets are compared, in the same task. So
+    a pair comes about once, and none below ``percent`` is moved. Wallets of equal sets are one set: list them by membership.
+    """
+    need = F.floor((F.col("n") * percent + 99) / 100)
+    prefix = F.slice("tokens", 1, (F.col("n") - need + 1).cast("int"))
+    met = sets.select("rep", "n", "tokens", F.posexplode(prefix).alias("at", "token"))
+    a, b = (met.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "tokens", "at")]) for s in "ab")
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))  # tokens that a pair so similar shares
+    sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least
+    both = a.join(b, "token").filter((F.col("rep_a") < F.col("rep_b")) & sizes & room)
+    shared = both.withColumn("both", F.array_intersect("tokens_a", "tokens_b")).filter(F.get("both", F.lit(0)) == F.col("token"))
+    out = shared.withColumn("shared", F.size("both").cast("bigint")).withColumn("whole", F.col("n_a") + F.col("n_b") - F.col("shared"))
+    return (out.filter(F.col("shared") * 100 >= F.col("whole") * percent)
+            .select(F.col("rep_a").alias("wallet_a"), F.col("rep_b").alias("wallet_b"), "shared", (F.col("shared") / F.col("whole")).alias("jaccard")))

@@ -5,15 +5,14 @@ Inputs with many rows per key carry a slice column (see ``sliced``), so that no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import sliced
+from tidemark.operators.cooldowns import cooldown
+
+__all__ = ["cooldown", "cross_events", "hysteresis", "rolling_drop", "run_counters", "sustained_below"]
 
 
 def cross_events(checks: DataFrame, keys: list[str], order: list[str], above: str = "above") -> DataFrame:
@@ -68,44 +67,3 @@ def rolling_drop(checks: DataFrame, keys: list[str], order: list[str], value: st
     """Checks lying below ``share`` of the mean of the last ``points`` values (their own included)."""
     rolled = sliced.rolling(checks, keys, order, points, recent_avg=lambda w: F.avg(value).over(w))
     return rolled.filter((F.col("idx") >= points) & (F.col(value) < F.col("recent_avg") * share))
-
-
-def _emit(keys: list[str], gap: int):
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = list(zip(*[pdf[k] for k in keys]))
-            sec = pdf["sec"].to_numpy()
-            new = np.ones(len(ids), dtype=bool)
-            new[1:] = [a != b for a, b in zip(ids[1:], ids[:-1])]
-            starts = np.flatnonzero(new)
-            keep = np.zeros(len(ids), dtype=bool)
-            for s, e in zip(starts, [*starts[1:], len(ids)]):
-                if ids[s] != key:
-                    key, last = ids[s], None
-                i = s if last is None else s + int(np.searchsorted(sec[s:e], last + gap))
-                while i < e:
-                    keep[i], last = True, int(sec[i])
-                    i = s + int(np.searchsorted(sec[s:e], last + gap))
-            yield pdf[keep]
-    return fold
-
-
-def cooldown(candidates: DataFrame, keys: list[str], ts: str, hours: float,
-             payload: list[str] | None = None) -> DataFrame:
-    """Alerts that pass a cooldown of ``hours`` since the last alert *sent* for the key (bound inclusive).
-
-    Greedy, hence a fold. Times have second resolution, so candidates are first thinned to one per key and
-    second with a map-side combined aggregate: what a key can bring into its task is bounded by the
-    seconds covered, not by its number of rows. The fold streams over the sorted partition and keeps only
-    the time of the last alert.
-    """
-    payload = payload or []
-    sec = F.unix_timestamp(F.col(ts).cast("timestamp"))
-    first = F.min(F.struct(F.col(ts), *[F.col(p) for p in payload])).alias("_f")
-    thin = (candidates.groupBy(*keys, sec.alias("sec")).agg(first)
-            .select(*keys, "sec", *[F.col(f"_f.{c}").alias(c) for c in [ts, *payload]]))
-    ordered = thin.repartition(*keys).sortWithinPartitions(*keys, "sec")
-    return ordered.mapInPandas(_emit(keys, int(hours * 3600)), ordered.schema)
