@@ -229,3 +229,38 @@ def test_fingerprint_values(spark):
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(t)
         error += [r.near_edited - likeness(t, edited), r.near_next - likeness(t, nxt)]
     assert abs(np.mean(error)) < 0.01 and np.sqrt(np.mean(np.square(error))) < 0.05
+
+
+@pytest.mark.parametrize("words,edits", [(60, 1), (80, 1), (120, 2)])
+def test_recall_of_near_passages(spark, words, edits):
+    """Passages whose shingle sets are 0.83 to 0.88 alike, edits anywhere, in documents that share nothing else."""
+    rnd = random.Random(words)
+    docs, n = [], 70
+    for i in range(n):
+        passage = numbered(f"p{words}-{i}", words)
+        near = list(passage)
+        for k in range(edits):
+            near[rnd.randrange(k * words // edits, (k + 1) * words // edits)] = f"edit{i}-{k}"
+        docs += [(2 * i, numbered(f"a{i}", rnd.randrange(5, 90)) + passage + numbered(f"b{i}", rnd.randrange(5, 90))),
+                 (2 * i + 1, numbered(f"c{i}", rnd.randrange(5, 90)) + near + numbered(f"d{i}", rnd.randrange(5, 90)))]
+    got = passages.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id BIGINT, text STRING")).collect()
+    pairs = {(r.doc_id, r.other_id) for r in got}
+    assert all(a == b + 1 and b % 2 == 0 for a, b in pairs) and len(pairs) >= 0.9 * n, len(pairs) / n
+
+
+def test_longest_stretch_that_does_not_fall():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60):
+        for _ in range(100):
+            total = np.append(0.0, np.cumsum(np.where(rng.random(n) < 0.85, 1 / 9, -8 / 9)))
+            a, b = passages.best_stretch(total, n + 1)
+            want = max(j - i for i in range(n + 1) for j in range(i, n + 1) if total[j] >= total[i] - 1e-9)
+            assert b - a == want and total[b] >= total[a] - 1e-9
+
+
+def test_agreements_in_small_parts(spark, monkeypatch):
+    docs = [(i, " ".join((numbered(f"x{i}", 40) + numbered("line", 12) * 9 + numbered(f"y{i}", 30)))) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    whole = sorted(passages.repeats(df).collect())
+    monkeypatch.setattr(passages, "PAIRS", 3)
+    assert sorted(passages.repeats(df).collect()) == whole and len(whole) >= 5
