@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from helpers import empty, table
+from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints, near_dedup, passages
 from tidemark.llm.components import connected
@@ -264,3 +265,24 @@ def test_agreements_in_small_parts(spark, monkeypatch):
     whole = sorted(passages.repeats(df).collect())
     monkeypatch.setattr(passages, "PAIRS", 3)
     assert sorted(passages.repeats(df).collect()) == whole and len(whole) >= 5
+
+
+@pytest.mark.parametrize("ids", [[-(2**62) - 5, 2**62 + 5, 0], [*range(300), 2**62], [*range(-500, -200), *(2**k for k in range(62)), 2**63 - 1, -(2**63)], [5], [7, 7, 7, 8]])
+def test_fingerprints_of_distant_and_repeated_ids(spark, ids):
+    data = [(i, f"text {n} of {i}") for n, i in enumerate(ids)] + [(None, "no id b"), (None, "no id a"), (None, None)]
+    df = spark.createDataFrame(data, "doc_id BIGINT, text STRING")
+    own = df.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("chunk", fingerprints.chunks(df, 16))
+    rows = sorted(own.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.h))
+    assert [r.chunk for r in rows] == sorted(r.chunk for r in rows)  # ranges follow the order
+    sizes = own.filter("doc_id IS NOT NULL").groupBy("chunk").count().collect()
+    assert len(ids) < 100 or max(r["count"] for r in sizes) <= 64
+    got = fingerprints.with_next(df, lambda d: d.withColumn("n", F.col("h")), ["n"], 16).collect()
+    after = {(r.doc_id, r.text or ""): rows[(k + 1) % len(rows)].text or "" for k, r in enumerate(rows)}
+    assert len(got) == len(data) and all(r.next_text == after[r.doc_id, r.text] for r in got)
+
+
+def test_one_id_on_very_many_rows_is_cut_by_its_texts(spark):
+    df = spark.createDataFrame([(3, f"text {i}") for i in range(400)] + [(i, "x") for i in range(40)], "doc_id BIGINT, text STRING")
+    own = df.withColumn("h", F.xxhash64("text")).withColumn("chunk", fingerprints.chunks(df, 20))
+    assert max(r["count"] for r in own.groupBy("chunk").count().collect()) <= 60
+    assert fingerprints.fingerprints(df).count() == 440

@@ -11,6 +11,7 @@ from tidemark.llm.common import read, stored, words
 BINS = 128  # a power of two
 SHINGLE = 5
 ROWS = 1024
+RANGES = 10_000
 
 
 def with_codes(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -65,21 +66,49 @@ def likeness(a: Column, b: Column) -> Column:
             .otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance))))
 
 
+def _longs(values: list[int]) -> Column:
+    return F.expr(f"transform(split('{','.join(map(str, values))}', ','), x -> cast(x AS bigint))") if values else F.array().cast("array<bigint>")
+
+
+def chunks(docs: DataFrame, rows: int) -> Column:
+    """Number of the range of (doc_id, h) that a document is in, rising as doc_id falls, then as the hash of the text ``h`` falls; ranges have about ``rows`` documents.
+
+    Borders are quantiles of the ids, ``RANGES`` at most, so ids that are far from all others do not widen the rest. Each range is then cut evenly between the least and the
+    greatest id that it has, as its count asks for; the range of one id that very many rows share is cut by their hashes. Ids are
+    subtracted as decimals. Only the borders and the ranges' counts reach the driver.
+    """
+    ids = docs.select("doc_id").filter("doc_id IS NOT NULL")
+    n, pieces = docs.count(), min(RANGES, max(1, ids.count() // rows))
+    found = ids.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], 10 * RANGES)).first()[0] if pieces > 1 else None
+    found = found or []
+    borders = sorted({*found, *(a + 1 for a, b in zip(found, found[1:]) if a == b and a < (1 << 63) - 1)})  # an id that is several quantiles is a range of its own
+    step = max(1, int(len(borders) ** 0.5))
+    every = _longs(borders)
+    coarse = F.size(F.filter(_longs(borders[step - 1::step]), lambda b: b <= F.col("doc_id")))  # blocks of borders that lie below
+    inner = F.size(F.filter(F.slice(every, coarse * step + 1, step), lambda b: b <= F.col("doc_id"))) if borders else F.lit(0)
+    part = (F.lit(len(borders)) - coarse * step - inner).cast("bigint")
+    held = {r["part"]: r for r in ids.groupBy(part.alias("part")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).collect()}
+    of = range(len(borders) + 1)
+    low, high, cuts = (F.get(_longs([v(held[k]) if k in held else 0 for k in of]), part.cast("int")).cast("decimal(20,0)")
+                       for v in (lambda r: r["low"], lambda r: r["high"], lambda r: -(-r["n"] // rows)))
+    wide, h = F.lit(str(1 << 63)).cast("decimal(20,0)"), F.col("h").cast("decimal(20,0)")
+    below = F.when(low == high, wide - 1 - h).otherwise(high - F.col("doc_id").cast("decimal(20,0)"))
+    size = F.when(low == high, wide * 2).otherwise(high - low + 1)
+    inside = F.floor(below.cast("decimal(21,0)") * cuts.cast("decimal(12,0)") / size.cast("decimal(21,0)")).cast("bigint")
+    nulls = F.lit(1 << 60) - F.floor(F.col("h") / F.lit(((1 << 63) - 1) // max(1, -(-n // rows))))
+    return F.when(F.col("doc_id").isNull(), nulls).otherwise(part * F.lit(1 << 40) + inside)
+
+
 def with_next(docs: DataFrame, prepare, carried: list[str], rows: int = ROWS) -> DataFrame:
     """(doc_id, text, carried, next_text, next_<carried>): each document beside the next in descending order of doc_id, the last beside the first.
 
-    Ids are cut into ranges of about ``rows`` documents. Each range gets a copy of the first document of the range after it, so
+    Ids are cut into ranges of about ``rows`` documents (see ``chunks``). Each range gets a copy of the first document of the range after it, so
     the next document is found inside the range and texts move once. Only the table of ranges, one row for ``rows``
     documents and without texts, is ordered as a whole. Documents without id come last, in order of a hash of the text,
-    as do ties; ranges hold more rows where ids crowd.
+    as do ties.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    low, high, n = own.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    pieces = max(1, -(-n // rows))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // pieces))
-    chunk = F.when(F.col("doc_id").isNull(), F.lit(1 << 60) - F.floor(F.col("h") / F.lit(((1 << 63) - 1) // pieces))).otherwise(
-        F.expr(f"({high or 0} - doc_id) div {width}"))
-    ranged = own.withColumn("chunk", chunk)
+    ranged = own.withColumn("chunk", chunks(docs, rows))
     heads = ranged.groupBy("chunk").agg(F.max_by("h", F.struct("doc_id", "h")).alias("head_h"), F.max("doc_id").alias("head_id"))
     order = Window.orderBy("chunk")
     before = F.coalesce(F.lag("chunk").over(order), F.max("chunk").over(Window.partitionBy()))
