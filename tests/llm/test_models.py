@@ -168,3 +168,31 @@ def test_oracle_sql_is_text():
     import __spark_entry__
 
     assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
+
+
+def test_frequent_words_by_whole_classes_of_counts(spark):
+    rows = [(f"w{i:04}", i, c) for i, c in enumerate([5000] + [900] * 3 + [7] * 40 + [1] * 300)]
+    counted = spark.createDataFrame(rows, "word STRING, h BIGINT, c BIGINT")
+    for most, n in ((0, 0), (1, 1), (3, 1), (4, 4), (43, 4), (44, 44), (343, 44), (344, 344), (10**6, 344)):
+        got = lm.frequent(counted, most)
+        assert [(r["word"], r["c"]) for r in got] == [(w, c) for w, _, c in rows[:n]], most
+    assert lm.frequent(counted.limit(0), 5) == []
+    plan = counted.filter(F.floor(F.log2(F.col("c")) * 256) >= 100)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan
+
+
+def test_training_leaves_no_code_out(monkeypatch):
+    seen = []
+    trainer = gru.Trainer(gru.start(seed=1))
+    monkeypatch.setattr(trainer, "_learn", lambda codes, h: (seen.append(codes.size), h)[1])
+    for n in (1, 63, 3201, 7001):
+        seen.clear()
+        trainer.streams(np.arange(n) % 5, 64)
+        assert sum(seen) == n
+    docs = [(i, f"one word {'more ' * (i % 50)}") for i in range(300)]
+    learned = []
+    monkeypatch.setattr(gru.Trainer, "streams", lambda self, codes, width: learned.append(len(codes)))
+    monkeypatch.setattr(lm, "AT_ONCE", 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array([np.zeros(len(t.split()) + 1, np.uint16).tobytes() for _, t in docs], pa.binary())], ["codes"])
+    out = list(lm._train(gru.flat(gru.start(seed=1)))([batch, batch]))
+    assert sum(learned) == 2 * sum(len(t.split()) + 1 for _, t in docs) == out[0].column("tokens")[0].as_py() and max(learned) < 1060

@@ -111,6 +111,9 @@ class Trainer:
         h = np.zeros((width, HIDDEN), np.float32)
         for a in range(0, n, self.window):
             h = self._learn(grid[a:a + self.window], h)
+        rest, h = codes[n * width:, None], np.zeros((1, HIDDEN), np.float32)
+        for a in range(0, len(rest), self.window):
+            h = self._learn(rest[a:a + self.window], h)
 
     def _learn(self, codes: np.ndarray, h: np.ndarray) -> np.ndarray:
         t, width = codes.shape

@@ -21,6 +21,7 @@ from tidemark.llm.common import read, spread_join, stored, words
 
 SENT = 1 << 18  # words whose counts are sent to the tasks
 STREAMS = 1024
+AT_ONCE = 1 << 22  # codes that are laid out as streams together
 PARTS = 64  # pieces that a parameter vector is summed in
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,16 +79,24 @@ def _code(sent: np.ndarray, counts: np.ndarray, head: int, end: int):
     return code
 
 
-def _train(params: np.ndarray, half: int):
-    """Each task learns from its part of the corpus, one half of the documents at a time, and gives its weights times tokens."""
+def _train(params: np.ndarray):
+    """Each task learns from all codes of its part of the corpus, ``AT_ONCE`` at a time, and gives its weights times tokens."""
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, tokens = gru.Trainer(gru.shaped(params)), 0
+        trainer, tokens, held, size = gru.Trainer(gru.shaped(params)), 0, [], 0
+
+        def learn():
+            codes = np.frombuffer(b"".join(held), np.uint16).astype(np.int64)
+            trainer.streams(codes, STREAMS)
+            return len(codes)
         for batch in batches:
-            some = [c for c, r in zip(batch.column("codes").to_pylist(), batch.column("rid").to_pylist(), strict=True) if r % 2 == half]
-            codes = np.frombuffer(b"".join(some), np.uint16).astype(np.int64)
-            if len(codes) >= 64:
-                trainer.streams(codes, STREAMS)
-                tokens += len(codes)
+            for codes in batch.column("codes").to_pylist():
+                held.append(codes)
+                size += len(codes)
+                if size >= 2 * AT_ONCE:
+                    tokens += learn()
+                    held, size = [], 0
+        if held:
+            tokens += learn()
         if tokens:
             parts = np.array_split(gru.flat(trainer.p).astype(float) * tokens, PARTS)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), pa.array([x.tobytes() for x in parts], pa.binary()),
@@ -106,16 +115,33 @@ def _sum(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                       pa.array([n for _, n in total.values()], pa.int64())], ["part", "weights", "tokens"])
 
 
+def frequent(counted: DataFrame, most: int) -> list:
+    """The most frequent words, at most ``most``, by falling count, of equal counts by the word.
+
+    A histogram tells which classes of counts (a 256th of a doubling wide) fit whole, so that no more words than are sent reach the driver.
+    """
+    level = F.floor(F.log2(F.col("c")) * 256)
+    sizes = sorted(((r["level"], r["n"]) for r in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # 16,384 at most
+    least, total = None, 0
+    for at, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = at
+    got = counted.filter(level >= least).select("word", "h", "c").collect() if least is not None else []
+    return sorted(got, key=lambda r: (-r["c"], r["word"]))
+
+
 def fit(coded: DataFrame, first: np.ndarray) -> np.ndarray:
     """Weights learned from all training documents in two rounds: tasks learn from the same start (the unigram model), their weights are averaged by tokens.
 
-    A round takes one half of the documents. The driver gets sums of the weights, at most 32 for each of 64 pieces.
+    A round takes one half of the documents, by a hash of the id. The driver gets sums of the weights, at most 32 for each of 64 pieces.
     """
     params = first
-    known = coded.filter("NOT held_out").select("rid", "codes")
+    known = coded.filter("NOT held_out").select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), "codes")
     for half in (0, 1):
         kind = "part long, weights binary, tokens long"
-        sums = known.mapInArrow(_train(params, half), kind).repartition(32).mapInArrow(_sum, kind).collect()
+        sums = known.filter(F.col("half") == half).select("codes").mapInArrow(_train(params), kind).repartition(32).mapInArrow(_sum, kind).collect()
         parts: dict[int, list] = {}
         for r in sums:
             old = parts.get(r["part"], [0.0, 0])
@@ -151,11 +177,11 @@ def score(docs: DataFrame) -> DataFrame:
     counted = stored(vocabulary(own), "lm-vocabulary")
     ends = own.filter(~held_out(F.col("doc_id"))).count()
     n_words, kinds = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counted.orderBy(F.col("c").desc(), F.col("word")).select("h", "c").limit(SENT).collect()
+    top = frequent(counted, SENT)
     sent, counts = np.array([r["h"] for r in top], np.int64), np.array([r["c"] for r in top], np.int64)
     head = gru.HEAD - 1
     n, v = n_words + ends, kinds + (ends > 0)
-    rest_mass = float(n_words - counts[:head].sum()) + 0.5 * (max(kinds - head, 0) + 1)
+    rest_mass = float(n_words - counts[:head].sum()) + 0.5 * (kinds - min(head, len(counts)) + 1)
 
     known = own.withColumn("held_out", held_out(F.col("doc_id")))
     coded = stored(known.mapInArrow(sliced(_code(sent, counts, head, ends)), CODED), "lm-coded")
