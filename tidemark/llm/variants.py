@@ -249,7 +249,7 @@ class _Chosen:
         """Slots of the first common gram of words i and j that an edit can leave at both its places."""
         shift = self.place[j][:, None, :] - self.place[i][:, :, None]
         both = (self.gram[i][:, :, None] == self.gram[j][:, None, :]) & (self.gram[i][:, :, None] > 0) & ((shift == 0) | (shift == 1) & longer[:, None, None])
-        at = both.reshape(len(i), -1).argmax(axis=1)
+        at = both.reshape(len(i), both.shape[1] * both.shape[2]).argmax(axis=1)
         return at // both.shape[2], at % both.shape[2]
 
 
