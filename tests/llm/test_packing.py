@@ -25,12 +25,31 @@ def test_ids_are_the_tokenizers(full):
 
 
 def test_knapsack():
-    rng = np.random.default_rng(1)
-    lengths, worth = np.array([3, 5, 7, 11]), rng.random(4)
     import itertools
-    best = max(sum(c * w for c, w in zip(n, worth, strict=True)) for n in itertools.product(range(9), repeat=4) if np.dot(n, lengths) <= 24)
-    pick = packing.heaviest(lengths, worth, 24)
-    assert lengths[pick].sum() <= 24 and abs(worth[pick].sum() - best) < 1e-9
+    rng = np.random.default_rng(1)
+    lengths, most = np.array([3, 5, 7, 11]), np.array([2, 9, 1, 3])
+    for _ in range(20):
+        worth = rng.random(4)
+        best = max(sum(c * w for c, w in zip(n, worth, strict=True)) for n in itertools.product(*[range(m + 1) for m in most]) if np.dot(n, lengths) <= 24)
+        copies = packing.heaviest(lengths, worth, most, 24)
+        assert (copies <= most).all() and np.dot(copies, lengths) <= 24 and abs(np.dot(copies, worth) - best) < 1e-9
+
+
+def test_the_program_carries_a_real_histogram(spark, full):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    sizes = [len(x) for x in packing.encode_texts(pa.array(texts), packing.tokenizer_path())]
+    pieces = np.array([n for s in sizes for n in [4096] * (s // 4096) + [s % 4096] * (s % 4096 > 0)])
+    lengths, counts = np.unique(pieces, return_counts=True)
+    some = lengths < 4096
+    lengths, counts = lengths[some], counts[some]
+    got = packing.program(lengths, counts, 4096)
+    used = np.zeros(len(lengths), np.int64)
+    for idx, copies, times in got:
+        assert times >= 1 and 0.9995 * 4096 <= (lengths[idx] * copies).sum() <= 4096
+        used[idx] += copies * times
+    assert (used <= counts).all() and (lengths * used).sum() >= 0.8 * (lengths * counts).sum()
+    whole = packing.plan(*np.unique(pieces, return_counts=True))
+    assert sum(t for _, t in whole) <= -(-int(pieces.sum()) // 4096) + 1
 
 
 @pytest.mark.parametrize("lengths,counts", [([4096], [5]), ([2048, 1365, 2731, 4096], [10, 30, 30, 4]), (list(range(100, 900)), [3] * 800), ([2049], [7]), ([], [])])

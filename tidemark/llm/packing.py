@@ -1,14 +1,13 @@
 """Packing documents into sequences: a configuration linear program over the length histogram.
 
-The program covers each length's pieces with patterns (multisets of lengths that fit one sequence) at least total
-weight. Multiplicative weights solve it: lengths that are covered less weigh more, and a knapsack dynamic program finds
-the heaviest pattern. Whole multiples are taken, the rest is solved again, and what little remains is packed best-fit.
+The program covers each length's pieces with patterns (multisets of lengths that fit one sequence), as few sequences as
+it can. Multiplicative weights solve it: lengths that are covered less weigh more, and a knapsack dynamic program, bounded by the pieces
+that are left, finds the heaviest pattern. It is rounded as it goes, and what fills no sequence at the end is packed best-fit.
 Only the histogram, which has at most one entry per length, reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -25,7 +24,9 @@ END_ID = 1
 PLAIN = r"[a-zß-öø-ÿ]+"
 TRAILING = ".,!*$%#&|;:?"
 KNOWN_WORDS = 150_000
-FULL = 0.995  # a pattern of the program is used when it fills that share of a sequence; the rest is packed best-fit
+SPARE = 0.0005  # share of a sequence that a pattern of the program may leave free; the rest is packed best-fit
+PRICED = 64  # lengths that a step prices
+PULL = 0.25  # how far the weight of a length that is covered falls
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -155,52 +156,69 @@ def _pieces(path: str, capacity: int):
     return pieces
 
 
-def heaviest(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
-    """Indexes (into ``lengths``, with repeats) of the pattern of most worth that fits: unbounded knapsack by capacity."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        k = fits[c]
-        if k:
-            v = worth[:k] + best[c - lengths[:k]]
-            j = int(v.argmax())
-            best[c], pick[c] = v[j], j
-        if best[c - 1] >= best[c]:
-            best[c], pick[c] = best[c - 1], -2
-    out, c = [], capacity
-    while c > 0 and pick[c] != -1:
-        if pick[c] == -2:
-            c -= 1
-        else:
-            out.append(pick[c])
-            c -= lengths[pick[c]]
-    return np.asarray(out, np.int64)
+def heaviest(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """Copies of each length, at most ``most``, in the pattern of greatest worth that fits: bounded knapsack by capacity.
+
+    Copies are split into items of 1, 2, 4, ... and a rest; an item is one vectorised step over all capacities.
+    """
+    items = []
+    for i, n in enumerate(np.minimum(most, capacity // lengths).tolist()):
+        k = 1
+        while n > 0:
+            items.append((i, min(k, n)))
+            n, k = n - k, 2 * k
+    best, took = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    for row, (i, k) in zip(took, items, strict=True):
+        size = int(lengths[i]) * k
+        more = best[:capacity + 1 - size] + worth[i] * k
+        np.greater(more, best[size:], out=row[size:])
+        np.maximum(more, best[size:], out=best[size:])
+    out, c = np.zeros(len(lengths), np.int64), capacity
+    for row, (i, k) in zip(took[::-1], items[::-1], strict=True):
+        if row[c]:
+            out[i] += k
+            c -= int(lengths[i]) * k
+    return out
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, eps: float, rounds: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Patterns (index, copies, times) that cover ``counts`` nearly evenly.
+def program(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Patterns (index, copies, times) that cover ``counts``, no piece twice, each pattern full but for ``SPARE`` of a sequence.
 
-    A step uses the pattern so often that its scarcest length gains the share ``eps``; a length's weight falls
-    exponentially with its covered share. Ends when all are covered or after ``rounds`` steps.
+    A length's dual weight starts as the length and falls exponentially with the share of its pieces that is covered. Each step prices ``PRICED``
+    lengths, drawn by the weight of what is left of them, and uses the pattern whole times, until its scarcest length is
+    used up. Where the weights lead to a pattern that is not full, the lengths alone are the worth; where that gives none either, twice as many lengths
+    are priced. It ends when all is covered or no full pattern of the lengths left is found among all of them.
     """
-    covered, found = np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        if covered.min() >= 1:
+    rng, left, covered, found, failed = np.random.default_rng(7), counts.copy(), np.zeros(len(lengths)), [], 0
+    while left.any():
+        open_ = np.flatnonzero(left)
+        priced = PRICED << failed
+        if priced >= 8 * len(open_):
             break
-        open_ = np.flatnonzero(covered < 1)
-        weight = np.exp(-covered[open_] / eps) / counts[open_]
-        idx, copies = np.unique(open_[heaviest(lengths[open_], weight, capacity)], return_counts=True)
-        times = eps * (counts[idx] / copies).min()
-        covered[idx] += times * copies / counts[idx]
-        key = (idx.tobytes(), copies.tobytes())
-        found[key] = (idx, copies, found[key][2] + times if key in found else times)
-    return list(found.values())
+        if len(open_) > priced:
+            key = np.log(lengths[open_] * left[open_]) - covered[open_] + rng.gumbel(size=len(open_))
+            open_ = open_[np.argpartition(-key, priced)[:priced]]
+        for weight in (1 - PULL + PULL * np.exp(-covered[open_]), np.ones(len(open_))):
+            copies = heaviest(lengths[open_], lengths[open_] * weight, left[open_], capacity)
+            full = int((lengths[open_] * copies).sum()) >= (1 - SPARE) * capacity
+            if full:
+                break
+        if not full:
+            failed += 1
+            continue
+        failed, idx = 0, open_[copies > 0]
+        copies = copies[copies > 0]
+        times = int((left[idx] // copies).min())
+        left[idx] -= copies * times
+        covered[idx] += copies * times / counts[idx]
+        found.append((idx, copies, times))
+    return found
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, solves: int = 2) -> list[tuple[list[tuple[int, int]], int]]:
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns and how many sequences use each: every piece exactly once. A pattern is [(length, copies), ...].
 
-    Depends on the histogram alone. Full-length pieces stand alone. Best-fit takes what the rounded program leaves: the
+    Depends on the histogram alone. Full-length pieces stand alone. Best-fit takes what the program leaves, which fills no sequence: the
     largest length left, then ever the largest that still fits, the pattern repeated while its lengths last, so that
     it too needs no more patterns than there are lengths.
     """
@@ -216,16 +234,8 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, solv
     full = np.flatnonzero((lengths == capacity) & (left > 0))
     if len(full):
         take(full, np.ones(1, np.int64), int(left[full[0]]))
-    for _ in range(solves):
-        some = np.flatnonzero(left > 0)
-        if not len(some):
-            break
-        eps = min(0.5, max(0.04, len(some) / 1000))  # few lengths are solved finely, many in as many steps as time allows
-        for idx, copies, times in sorted(fractional(lengths[some], left[some].astype(float), capacity, eps, max(80, 20_000 // len(some))), key=lambda p: -p[2]):
-            fill = int((lengths[some[idx]] * copies).sum())
-            n = min(math.ceil(times), int((left[some[idx]] // copies).min())) if fill >= FULL * capacity else 0
-            if n > 0:
-                take(some[idx], copies, n)
+    for idx, copies, times in program(lengths, left.copy(), capacity):
+        take(idx, copies, times)
     while left.any():
         room, idx, copies = capacity, [], []
         while True:
