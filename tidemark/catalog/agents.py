@@ -8,6 +8,7 @@ from tidemark import bindings as b
 from tidemark.catalog.base import query, with_
 from tidemark.functions.values import ntz
 from tidemark.operators import agents as ag
+from tidemark.session import shared_dir
 
 HEARTBEAT_AS_OF = "2024-01-30 23:58:00"
 JOBS_AS_OF = "2001-08-01 12:00:00"
@@ -117,33 +118,36 @@ def opportunity_jobs(spark, sf):
 
 EXEC_SQL = """
 ex AS (SELECT l_suppkey AS agent, l_shipdate AS executed_at, l_extendedprice AS amount, l_extendedprice * (l_discount - 0.05::DOUBLE) AS pnl,
-        CASE WHEN l_linestatus = 'F' THEN 'settled' ELSE 'executed' END AS status FROM lineitem),
+        CASE WHEN l_linestatus = 'F' THEN 'settled' ELSE 'executed' END AS status,
+        CASE WHEN l_orderkey % 7 > 0 THEN 0.5::DOUBLE + l_tax * 5 END AS confidence FROM lineitem),
 daily AS (SELECT executed_at::DATE AS day, agent, count(*) AS trades, count(*) FILTER (pnl > 0) AS winners, count(*) FILTER (pnl < 0) AS losers,
-        round(sum(pnl) + 0.0::DOUBLE, 4) AS total_pnl, round(sum(amount), 2) AS volume FROM ex WHERE status = 'settled' GROUP BY 1, 2)"""
+        round(sum(pnl) + 0.0::DOUBLE, 4) AS total_pnl, round(sum(amount), 2) AS volume,
+        round(coalesce(sum(confidence), 0) + 0.0::DOUBLE, 4) AS confidence, count(confidence) AS rated FROM ex WHERE status = 'settled' GROUP BY 1, 2)"""
 
 
 def executions(spark, sf):
     li = b.table(spark, sf, "lineitem")
     return li.select(F.col("l_suppkey").alias("agent"), F.col("l_shipdate").alias("executed_at"), F.col("l_extendedprice").alias("amount"),
                      (F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).alias("pnl"),
-                     F.when(F.col("l_linestatus") == "F", "settled").otherwise("executed").alias("status"))
+                     F.when(F.col("l_linestatus") == "F", "settled").otherwise("executed").alias("status"),
+                     F.when(F.col("l_orderkey") % 7 > 0, 0.5 + F.col("l_tax") * 5).alias("confidence"))
 
 
 @query("daily_performance", with_(EXEC_SQL) + "SELECT day, agent, trades, winners, losers, total_pnl, total_pnl / trades AS avg_pnl, volume FROM daily")
 def daily_performance(spark, sf):
-    return ag.daily_performance(executions(spark, sf))
+    return ag.daily_performance(executions(spark, sf).drop("confidence"))
 
 
 @query("agent_rollup", with_(EXEC_SQL, JOBS_SQL, """
-parts AS (SELECT agent, day, trades, winners, losers, total_pnl, volume, 0 AS done, 0 AS failed, 0 AS minutes FROM daily UNION ALL
-      SELECT agent, completed_at::DATE, 0, 0, 0, 0, 0, count(*) FILTER (status = 'completed'), count(*) FILTER (status = 'failed'), sum(minutes)
+parts AS (SELECT agent, day, trades, winners, losers, total_pnl, volume, confidence, rated, 0 AS done, 0 AS failed, 0 AS minutes FROM daily UNION ALL
+      SELECT agent, completed_at::DATE, 0, 0, 0, 0, 0, 0, 0, count(*) FILTER (status = 'completed'), count(*) FILTER (status = 'failed'), sum(minutes)
       FROM jobs WHERE status IN ('completed', 'failed') GROUP BY 1, 2),
 rolled AS (SELECT agent, period, date_trunc(unit, day)::DATE AS period_start, sum(trades)::BIGINT AS trades, sum(winners)::BIGINT AS winners, sum(losers)::BIGINT AS losers,
         round(sum(total_pnl) + 0.0::DOUBLE, 4) AS total_pnl, round(sum(volume), 2) AS volume, sum(done)::BIGINT AS jobs_completed,
-        sum(failed)::BIGINT AS jobs_failed, sum(minutes)::BIGINT AS minutes
+        sum(failed)::BIGINT AS jobs_failed, sum(minutes)::BIGINT AS minutes, round(sum(confidence) + 0.0::DOUBLE, 4) AS confidence, sum(rated)::BIGINT AS rated
       FROM parts CROSS JOIN (VALUES ('daily', 'day'), ('weekly', 'week'), ('monthly', 'month')) p(period, unit) GROUP BY 1, 2, 3)""") + """
 SELECT agent, period, period_start, trades, winners, losers, total_pnl, volume, jobs_completed, jobs_failed,
-  CASE WHEN trades > 0 THEN volume / trades END AS avg_trade_size,
+  CASE WHEN rated > 0 THEN round(confidence / rated, 4) END AS avg_confidence, CASE WHEN trades > 0 THEN volume / trades END AS avg_trade_size,
   CASE WHEN jobs_completed + jobs_failed > 0 THEN minutes / (jobs_completed + jobs_failed) END AS avg_job_minutes FROM rolled""")
 def agent_rollup(spark, sf):
     return ag.agent_rollup(executions(spark, sf), jobs(spark, sf)).drop("minutes")
@@ -160,3 +164,16 @@ def health_counters(spark, sf):
   'completed', 'failed') THEN 'valid_status' END, CASE WHEN NOT priority BETWEEN 1 AND 10 THEN 'valid_priority' END) AS violations FROM jobs) WHERE violations <> ''""")
 def enum_check(spark, sf):
     return ag.violations(jobs(spark, sf), ag.job_checks()).select("id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("enum_quarantine", with_(JOBS_SQL, """
+c AS (SELECT id, concat_ws(',', CASE WHEN status NOT IN ('pending', 'assigned', 'in_progress', 'completed', 'failed') THEN 'valid_status' END,
+  CASE WHEN NOT priority BETWEEN 1 AND 10 THEN 'valid_priority' END) AS violations FROM jobs)""") + """
+SELECT CASE WHEN violations = '' THEN 'accepted' ELSE 'rejected' END AS part, violations, count(*) AS jobs, sum(id)::BIGINT AS ids, (SELECT count(*) FROM c) AS seen,
+  (SELECT count(*) FROM c WHERE violations <> '') AS rejected, (SELECT count(*) FROM c WHERE contains(violations, 'valid_status')) AS bad_status FROM c GROUP BY 1, 2""")
+def enum_quarantine(spark, sf):
+    """Good and rejected jobs in two tables written by one pass, with the counts it observed."""
+    path = shared_dir(spark, "quarantine")
+    seen = ag.quarantine(jobs(spark, sf), ag.job_checks(), path)
+    t = spark.read.parquet(path).groupBy("part", F.array_join("violations", ",").alias("violations")).agg(F.count(F.lit(1)).alias("jobs"), F.sum("id").alias("ids"))
+    return t.withColumns({"seen": F.lit(seen["rows"]).cast("bigint"), "rejected": F.lit(seen["rejected"]).cast("bigint"), "bad_status": F.lit(seen["valid_status"]).cast("bigint")})

@@ -170,6 +170,16 @@ def hedge_tier(spark, sf):
     return bt.hedges(d).select("doc_id", "coverage")
 
 
+@query("hedge_lines", """SELECT doc_id, i - 1 AS line_no, lines[i] AS raw_line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (
+  SELECT doc_id, string_split(replace(replace(replace(text, 'an', ' T1 '), 'th', ' T2 '), 'de', ' T3 '), chr(10)) AS lines FROM documents))
+WHERE (contains(lines[i], 'T1') OR contains(lines[i], 'T2')) AND (contains(lower(lines[i]), 'coverage') OR contains(lines[i], '%'))""")
+def hedge_lines(spark, sf):
+    """The lines a hedge scan keeps; tier names are put in place of syllables as in ``hedge_tier``."""
+    t = F.replace(F.replace(F.replace("text", F.lit("an"), F.lit(" T1 ")), F.lit("th"), F.lit(" T2 ")), F.lit("de"), F.lit(" T3 "))
+    d = b.table(spark, sf, "documents").select("doc_id", t.alias("output"))
+    return bt.hedge_lines(d).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "raw_line")
+
+
 @query("bet_redflags", BETS + """SELECT id, flags FROM (SELECT id, concat_ws(',', CASE WHEN p < 0.2::DOUBLE OR p > 0.8::DOUBLE THEN 'EXTREME_PROBABILITY' END,
   CASE WHEN conf <= 0.4::DOUBLE THEN 'LOW_CONFIDENCE' END, CASE WHEN days_to_resolve > 30 THEN 'FAR_RESOLUTION' END,
   CASE WHEN amount > 3 THEN 'OVERSIZED' END) AS flags FROM bets) WHERE flags <> ''""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import bindings as b
 from tidemark.catalog.base import query, with_
+from tidemark.functions.values import ntz
 from tidemark.operators import joins as jn
 
 TRACKED_SQL = "tracked AS (SELECT c_custkey AS wallet FROM customer WHERE c_acctbal > 9000)"
@@ -70,13 +71,18 @@ def watchlist_keep_missing(spark, sf):
             .select("address", "market_cap", F.coalesce("m", F.lit(True)).alias("missing")))
 
 
-@query("watchlist_new", with_(b.WATCH_SQL, b.LISTINGS_SQL) + """SELECT address, symbol FROM watch UNION ALL
-SELECT DISTINCT contract, symbol FROM listings WHERE market_cap BETWEEN 100000 AND 500000 AND contract <> ''
-  AND contract NOT IN (SELECT address FROM watch)""")
+@query("watchlist_new", with_(b.WATCH_SQL, b.LISTINGS_SQL) + """SELECT symbol, name, address, NULL AS chain, added_date, NULL AS notes FROM watch UNION ALL
+SELECT symbol, symbol, contract, 'solana', DATE '2001-11-05', '4-10 days (scanner verified) | ' || printf('%+.1f%%', change_24h) || ' | MC $' ||
+  round_even(market_cap / 1000, 0)::BIGINT || 'K | Auto-added from scanner'
+FROM (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY source_rank) AS rn FROM listings WHERE market_cap BETWEEN 100000 AND 500000 AND contract <> '')
+WHERE rn = 1 AND contract NOT IN (SELECT address FROM watch)""")
 def watchlist_new(spark, sf):
-    found = (b.listings(spark, sf).filter(F.col("market_cap").between(100_000, 500_000))
-             .select(F.col("contract").alias("address"), "symbol").distinct())
-    return jn.upsert_new(b.watchlist(spark, sf).select("address", "symbol"), found)
+    """The list as it is, and an entry for the first match of each token that is not on it."""
+    found = b.listings(spark, sf).filter(F.col("market_cap").between(100_000, 500_000))
+    first = found.groupBy(F.col("contract").alias("address")).agg(*[F.min_by(c, "source_rank").alias(c) for c in ("symbol", "change_24h", "market_cap")])
+    new = jn.scanner_entries(first.withColumn("name", F.col("symbol")), ntz(b.AS_OF))
+    listed = b.watchlist(spark, sf).select("symbol", "name", "address", F.lit(None).cast("string").alias("chain"), "added_date", F.lit(None).cast("string").alias("notes"))
+    return jn.upsert_new(listed, new)
 
 
 @query("signal_merge", with_(b.SNAP_SQL, TRACKED_SQL, b.TRADES_SQL, """

@@ -311,17 +311,18 @@ K_SQL = "'$' || round_even(market_cap / 1000, 0)::BIGINT || 'K'"
 
 
 @query("watchlist_maintain", with_(b.WATCH_SQL, b.SNAP_SQL, """
-j AS (SELECT w.address, date_diff('day', w.added_date, DATE '2001-11-05') AS age, s.market_cap, s.change_24h, s.address IS NULL AS missing
+j AS (SELECT w.address, date_diff('day', CASE WHEN w.token % 5 = 0 THEN DATE '2026-01-01' ELSE w.added_date END, DATE '2001-11-05') AS age, s.market_cap, s.change_24h, s.address IS NULL AS missing
       FROM watch w LEFT JOIN snap s ON s.address = w.address AND volume_24h > 0)""", f"""
 r AS (SELECT *, CASE WHEN age > 10 THEN 'Age ' || age || 'd > 10d' WHEN missing THEN NULL WHEN market_cap < 100000 THEN 'MC ' || {K_SQL} || ' < $100K'
         WHEN market_cap > 500000 THEN 'Graduated MC ' || {K_SQL}
         WHEN change_24h < -50 THEN 'Distribution ' || printf('%.1f%%', change_24h) || ' 24h' END AS reason FROM j)""") + f"""
 SELECT address, reason, reason IS NULL AS keep, CASE WHEN reason IS NULL AND NOT missing THEN age || ' days | ' || printf('%+.1f%%', change_24h)
-  || ' | MC ' || {K_SQL} END AS note FROM r""")
+  || ' | MC ' || {K_SQL} || ' | Updated 06:30' END AS note FROM r""")
 def watchlist_maintain(spark, sf):
     s = traded_recently(spark, sf).select("address", "market_cap", "change_24h", F.lit(False).alias("m"))
-    j = b.watchlist(spark, sf).join(s, "address", "left").withColumn("missing", F.coalesce("m", F.lit(True)))
-    return sc.watchlist_maintain(j, F.lit(b.AS_OF[:10]).cast("date")).select("address", "reason", "keep", "note")
+    w = b.watchlist(spark, sf).withColumn("added_date", F.when(F.col("token") % 5 != 0, F.col("added_date")))  # some rows have no date
+    j = w.join(s, "address", "left").withColumn("missing", F.coalesce("m", F.lit(True)))
+    return sc.watchlist_maintain(j, ntz(f"{b.AS_OF[:10]} 06:30:00")).select("address", "reason", "keep", "note")
 
 
 @query("exit_ladder", """

@@ -81,6 +81,10 @@ COPY_CONFIDENCE = 0.80
 COPY_MIN_SIZE = 100
 HEDGE_TIERS = (("T1", 0.95), ("T2", 0.92), ("T3", 0.87))
 HEDGE_MIN_COVERAGE = 0.90
+WATCH_ADDED = "2026-01-01"  # day that a watchlist row without a date counts as added on
+SCANNER_AGE_NOTE = "4-10 days (scanner verified)"
+SCANNER_CHAIN = "solana"
+SCANNER_SOURCE_NOTE = "Auto-added from scanner"
 LONGSHOT_WARNING = "LOW_PROB_HIGH_EDGE"
 
 # --- words ---

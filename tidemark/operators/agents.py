@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark import fixed
-from tidemark.functions.values import hours_between, minutes_between
+from tidemark.functions.values import hours_between, minutes_between, nz
 
 
 def latest_state(updates: DataFrame, key: str, ts: str, tie: str, working: str = "working") -> DataFrame:
@@ -51,34 +51,37 @@ def urgent(pipeline: DataFrame, k: int = 3) -> DataFrame:
 
 
 def daily_performance(executions: DataFrame) -> DataFrame:
+    """Settled executions by day and agent; with a ``confidence`` column also its sum and the number of rows that have one."""
     e = executions.filter(F.col("status") == "settled")
+    confidence = [F.round(nz(F.sum("confidence")) + 0.0, 4).alias("confidence"), F.count("confidence").alias("rated")] if "confidence" in executions.columns else []
     return (e.groupBy(F.to_date("executed_at").alias("day"), "agent")
             .agg(F.count(F.lit(1)).alias("trades"), F.count_if(F.col("pnl") > 0).alias("winners"),
                  F.count_if(F.col("pnl") < 0).alias("losers"), F.round(F.sum("pnl") + 0.0, 4).alias("total_pnl"),
-                 F.round(F.sum("amount"), 2).alias("volume"))
+                 F.round(F.sum("amount"), 2).alias("volume"), *confidence)
             .withColumn("avg_pnl", F.col("total_pnl") / F.col("trades")))
 
 
 def agent_rollup(executions: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Daily, weekly and monthly figures per agent.
+    """Daily, weekly and monthly figures per agent; the average confidence is over executions that have one, null without any.
 
     Both inputs are reduced to one row per agent and day before the three periods multiply the rows.
     """
     e = daily_performance(executions).select(
-        "agent", "day", "trades", "winners", "losers", "total_pnl", "volume", *[F.lit(0).cast("bigint").alias(c) for c in ("done", "failed", "minutes")])
+        "agent", "day", "trades", "winners", "losers", "total_pnl", "volume", "confidence", "rated", *[F.lit(0).cast("bigint").alias(c) for c in ("done", "failed", "minutes")])
     finished = jobs.filter(F.col("status").isin("completed", "failed"))
     j = (finished.groupBy("agent", F.to_date("completed_at").alias("day"))
          .agg(F.count_if(F.col("status") == "completed").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"),
               F.sum(F.col("minutes").cast("bigint")).alias("minutes"))
          .select("agent", "day", *[F.lit(0).cast("bigint").alias(c) for c in ("trades", "winners", "losers")],
-                 *[F.lit(0.0).alias(c) for c in ("total_pnl", "volume")], "done", "failed", "minutes"))
+                 *[F.lit(0.0).alias(c) for c in ("total_pnl", "volume", "confidence")], F.lit(0).cast("bigint").alias("rated"), "done", "failed", "minutes"))
     period = F.explode(F.array(*[F.struct(F.lit(n).alias("period"), F.to_date(F.date_trunc(u, "day")).alias("period_start"))
                                  for n, u in (("daily", "day"), ("weekly", "week"), ("monthly", "month"))])).alias("p")
     r = (e.unionByName(j).select("*", period).groupBy("agent", "p.period", "p.period_start")
          .agg(F.sum("trades").alias("trades"), F.sum("winners").alias("winners"), F.sum("losers").alias("losers"), F.round(F.sum("total_pnl") + 0.0, 4).alias("total_pnl"),
               F.round(F.sum("volume"), 2).alias("volume"), F.sum("done").alias("jobs_completed"), F.sum("failed").alias("jobs_failed"),
-              F.sum("minutes").alias("minutes")))
-    return (r.withColumn("avg_trade_size", F.try_divide("volume", "trades"))
+              F.sum("minutes").alias("minutes"), F.round(F.sum("confidence") + 0.0, 4).alias("confidence"), F.sum("rated").alias("rated")))
+    return (r.withColumn("avg_confidence", F.round(F.try_divide("confidence", "rated"), 4)).drop("confidence", "rated")
+            .withColumn("avg_trade_size", F.try_divide("volume", "trades"))
             .withColumn("avg_job_minutes", F.try_divide(F.col("minutes"), F.col("jobs_completed") + F.col("jobs_failed"))))
 
 
@@ -105,5 +108,20 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return df.withColumn("violations", broken).filter(F.size("violations") > 0)
 
 
+def quarantine(df: DataFrame, checks: dict[str, Column], path: str) -> dict[str, int]:
+    """Write rows that keep all constraints and rows that break one apart, in one pass over ``df``; returns how many there are.
+
+    Below ``path``, ``part=accepted`` and ``part=rejected`` are the two tables; ``violations`` names the broken constraints. Null values pass, as in SQL.
+    The counts (rows, rejected, and one for each constraint) are observed while the tables are written.
+    """
+    broken = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]))
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(F.size("violations") > 0).alias("rejected"),
+              *[F.count_if(F.array_contains("violations", name)).alias(name) for name in checks]]
+    checked = df.withColumn("violations", broken).observe(seen, *counts)
+    checked.withColumn("part", F.when(F.size("violations") > 0, "rejected").otherwise("accepted")).write.partitionBy("part").parquet(path)
+    return seen.get
+
+
 def job_checks() -> dict[str, Column]:
     return {"valid_status": F.col("status").isin(*fixed.JOB_STATUS), "valid_priority": F.col("priority").between(*fixed.JOB_PRIORITY)}

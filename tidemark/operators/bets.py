@@ -141,6 +141,14 @@ def hedge_coverage(text: Column) -> Column:
     return out.otherwise(0.0)
 
 
+def hedge_lines(scans: DataFrame, text: str = "output") -> DataFrame:
+    """Lines of a scan's output that name one of the two best tiers and speak of coverage or give a percentage: one row each, ``line_no`` from 0, ``raw_line``."""
+    best = F.col("raw_line").contains(fixed.HEDGE_TIERS[0][0]) | F.col("raw_line").contains(fixed.HEDGE_TIERS[1][0])
+    told = F.lower("raw_line").contains("coverage") | F.col("raw_line").contains("%")
+    lines = scans.select("*", F.posexplode(F.split(text, "\n")).alias("line_no", "raw_line"))
+    return lines.filter(best & told)
+
+
 def hedges(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("coverage", hedge_coverage(F.col("analysis"))).filter(F.col("coverage") >= fixed.HEDGE_MIN_COVERAGE)
 

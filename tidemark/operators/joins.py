@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
+from tidemark.functions import text as tx
 from tidemark.functions.values import nz
 from tidemark.operators import sliced
 
@@ -44,6 +45,12 @@ def nz_text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def scanner_entries(found: DataFrame, as_of: Column) -> DataFrame:
+    """Watchlist rows for scanner matches: chain, day added and a note with the change and the market cap."""
+    note = F.concat(F.lit(f"{fixed.SCANNER_AGE_NOTE} | "), tx.signed_pct(F.col("change_24h")), F.lit(" | MC "), tx.usd_k(F.col("market_cap")), F.lit(f" | {fixed.SCANNER_SOURCE_NOTE}"))
+    return found.select("symbol", "name", "address", F.lit(fixed.SCANNER_CHAIN).alias("chain"), F.to_date(as_of).alias("added_date"), note.alias("notes"))
+
+
 def upsert_new(listed: DataFrame, found: DataFrame, key: str = "address") -> DataFrame:
     """The list plus the rows not on it."""
     return listed.unionByName(not_listed(found, listed, key))

@@ -196,18 +196,21 @@ def unified_alerts(merged: DataFrame) -> DataFrame:
 
 
 def watchlist_maintain(joined: DataFrame, as_of: Column) -> DataFrame:
-    """Keep or remove each watchlist row, with the reason or the refreshed note.
+    """Keep or remove each watchlist row, with the reason or the refreshed note, which says when it was updated (``as_of``, a time).
+
+    A row without an added date counts as added on a fixed day.
 
     ``joined`` is the watchlist left-joined with market data; ``missing`` marks rows without data.
     """
     low, high = fixed.TARGET_MC
-    age, mc, ch = F.date_diff(as_of, F.col("added_date")), F.col(MC), F.col(CHANGE)
+    age, mc, ch = F.date_diff(as_of, F.coalesce("added_date", F.lit(fixed.WATCH_ADDED).cast("date"))), F.col(MC), F.col(CHANGE)
     reason = (F.when(age > fixed.WATCH_MAX_AGE_DAYS, F.concat(F.lit("Age "), age.cast("string"), F.lit("d > 10d")))
               .when(F.col("missing"), None)
               .when(mc < low, F.concat(F.lit("MC "), tx.usd_k(mc), F.lit(" < $100K")))
               .when(mc > high, F.concat(F.lit("Graduated MC "), tx.usd_k(mc)))
               .when(ch < fixed.DISTRIBUTION_PCT, F.concat(F.lit("Distribution "), tx.filled("%.1f%%", ch), F.lit(" 24h"))))
-    note = F.concat(age.cast("string"), F.lit(" days | "), tx.signed_pct(ch), F.lit(" | MC "), tx.usd_k(mc))
+    note = F.concat(age.cast("string"), F.lit(" days | "), tx.signed_pct(ch), F.lit(" | MC "), tx.usd_k(mc),
+                    F.lit(" | Updated "), F.date_format(as_of, "HH:mm"))
     return (joined.withColumn("reason", reason).withColumn("keep", F.col("reason").isNull())
             .withColumn("note", F.when(F.col("keep") & ~F.col("missing"), note)))
 
