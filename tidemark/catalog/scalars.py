@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import bindings as b
 from tidemark import fixed
 from tidemark.catalog.base import query, with_
+from tidemark.functions import payloads
 from tidemark.functions import text as tx
 from tidemark.functions.values import clamp, hours_between, minutes_between, ntz, pct_change
 
@@ -102,6 +103,28 @@ LOOKUP = " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.TIMEFRAME_SECONDS.ite
 CAPS = " ".join(f"WHEN '{k}' THEN '{','.join(v)}'" for k, v in fixed.CAPABILITIES.items())
 
 
+@query("variant_payloads", """
+SELECT event_id, event_id % 6 NOT IN (2, 5) AS parsed, CASE event_id % 6 WHEN 0 THEN user_id WHEN 1 THEN user_id WHEN 3 THEN NULL WHEN 4 THEN user_id END AS wallet,
+  CASE event_id % 6 WHEN 0 THEN event_type WHEN 1 THEN 'none' WHEN 3 THEN 'none' WHEN 4 THEN 'none' END AS first_tag,
+  CASE event_id % 6 WHEN 0 THEN event_id::DOUBLE WHEN 1 THEN event_id + 0.5::DOUBLE WHEN 3 THEN 0 WHEN 4 THEN 0 END AS size,
+  CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN false WHEN 4 THEN false END AS urgent FROM events""")
+def variant_payloads(spark, sf):
+    """Job payloads of several shapes: nested, with numbers as text, cut off, empty, of wrong types and missing."""
+    e, n, user = b.table(spark, sf, "events"), F.col("event_id"), F.col("user_id")
+    shapes = [F.format_string('{"who": {"wallet": %d, "tags": ["%s", "x"]}, "size": %d, "urgent": true}', user, F.col("event_type"), n),
+              F.format_string('{"who": {"wallet": "%d", "tags": []}, "size": "%d.5", "urgent": "false"}', user, n),
+              F.format_string('{"who": {"wallet": %d, "tags": ["%s"', user, F.col("event_type")),
+              F.lit('{"other": [1, {"a": null}], "who": null}'),
+              F.format_string('{"who": {"wallet": %d, "tags": null}, "size": {"much": 1}, "urgent": [1]}', user),
+              F.lit(None).cast("string")]
+    kind = F.when(n % 6 == 0, shapes[0])
+    for i, shape in enumerate(shapes[1:], 1):
+        kind = kind.when(n % 6 == i, shape)
+    wanted = {"wallet": ("$.who.wallet", "bigint", None), "first_tag": ("$.who.tags[0]", "string", "none"), "size": ("$.size", "double", 0.0), "urgent": ("$.urgent", "boolean", False)}
+    got = payloads.fields(e.select("event_id", kind.alias("payload")), "payload", wanted)
+    return got.select("event_id", F.col("payload_variant").isNotNull().alias("parsed"), *wanted)
+
+
 @query("map_lookups", f"""SELECT event_id, coalesce(CASE tf {LOOKUP} END, 3600) AS seconds, coalesce(CASE kind {CAPS} END, '') AS capabilities FROM (SELECT event_id,
   (['1m', '4H', '1D', '1W', '9H'])[(user_id % 5 + 1)::INT] AS tf, (['scanner', 'trader', 'reporter', 'coordinator', 'other'])[(user_id % 5 + 1)::INT] AS kind FROM events)""")
 def map_lookups(spark, sf):

@@ -138,7 +138,15 @@ last_ AS (SELECT f.file, f.head, f.link, f.link AS closing FROM first_ f WHERE h
 SELECT l.file, 'Coin ' || l.head AS name, translate(l.head::VARCHAR, '0123456789', 'ABCDEFGHIJ') AS symbol, '$' || s.buys AS price,
   (s.holders || '.5')::DOUBLE AS change_24h, round_even(s.market_cap, 0)::BIGINT AS market_cap, 'T' || l.closing AS address FROM last_ l JOIN snap s ON s.token = l.closing""")
 def scan_log_blocks(spark, sf):
-    return logs.scan_blocks(scan_lines(spark, sf))
+    return logs.scan_blocks(raw(spark, scan_lines(spark, sf)))
+
+
+def raw(spark, lines):
+    """Lines written as rotated raw logs, one folder for each, and read back from the text alone."""
+    path = shared_dir(spark, "raw-logs")
+    ordered = lines.repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no")
+    ordered.select("file", "value").write.partitionBy("file").text(path)
+    return logs.read_lines(spark, path, "file")
 
 
 def run_lines(spark, sf):
@@ -158,7 +166,7 @@ def run_lines(spark, sf):
   e AS matches, s AS others, 8::BIGINT AS seconds FROM (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (event_type = 'view') AS v,
   count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'signup') AS s FROM events GROUP BY 1)""")
 def scan_log_metrics(spark, sf):
-    return logs.run_metrics(run_lines(spark, sf))
+    return logs.run_metrics(raw(spark, run_lines(spark, sf)))
 
 
 @query("watchlist_read", with_(b.WATCH_SQL) + "SELECT symbol, name, address, added_date FROM watch")

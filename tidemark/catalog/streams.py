@@ -58,6 +58,20 @@ def stream_convergence(spark, sf):
     return wi.run_available(wi.convergence(stream(spark, sf).filter("side = 'buy'"), 25), "stream_convergence")
 
 
+@query("stream_convergence_sketch", with_("wm AS (SELECT epoch_us(max(ts)) // 1000 AS w FROM events WHERE value >= 30)", f"""
+each AS (SELECT DISTINCT event_type AS key, {bucket(2)} AS b, user_id FROM events WHERE value >= 30),
+wide AS (SELECT key, b - INTERVAL 2 HOUR * k::INT AS from_ts, count(DISTINCT user_id) AS wallets FROM each, range(12) r(k) GROUP BY 1, 2)""") + """
+SELECT key, from_ts, wallets, true AS close FROM wide, wm WHERE epoch_ms(from_ts) + 86400000 <= w""")
+def stream_convergence_sketch(spark, sf):
+    """Sketched counts of every window beside the exact ones of a batch: ``close`` tells whether they differ by 3 % at most."""
+    buys = stream(spark, sf).filter("side = 'buy'")
+    got = wi.run_available(wi.convergence_sketch(buys, 1), "stream_sketch").withColumnRenamed("wallets", "guess")
+    e = spark.read.parquet(f"{sf}/{EVENTS}").filter("value >= 30")
+    each = e.select(F.col("event_type").alias("key"), F.window(F.col("ts").cast("timestamp"), "24 hours", "2 hours")["start"].alias("from_ts"), "user_id").distinct()
+    exact = each.groupBy("key", "from_ts").agg(F.count(F.lit(1)).alias("wallets"))
+    return got.join(exact, ["key", "from_ts"]).select("key", "from_ts", "wallets", (F.abs(F.col("guess") - F.col("wallets")) <= 0.03 * F.col("wallets")).alias("close"))
+
+
 @query("stream_volume_spike", with_(WM) + f"""SELECT key, bucket, round(volume, 2) AS volume, buys, sells FROM (SELECT event_type AS key, {bucket(1)} AS bucket,
   sum(value) AS volume, count(*) FILTER (value >= 30) AS buys, count(*) FILTER (value < 30) AS sells FROM events GROUP BY 1, 2), wm
 WHERE volume > 100 AND CASE WHEN sells = 0 THEN 1 ELSE buys / sells END > 1.5::DOUBLE AND epoch_ms(bucket) + 3600000 <= w""")

@@ -10,6 +10,7 @@ from tidemark import fixed
 from tidemark.functions import rules as ru
 from tidemark.functions import text as tx
 from tidemark.functions.values import clamp, nz
+from tidemark.session import written
 
 CHANGE, MC, VOL = "change_24h", "market_cap", "volume_24h"
 
@@ -235,24 +236,27 @@ def message_triage(messages: DataFrame, as_of_seconds: Column, minutes: int = 30
     return m.filter("level = 'urgent'").select("id", "subject", "sender", "ts", "level").unionByName(first)
 
 
-def launch_momentum(df: DataFrame, parts: list[str], key: str = "token") -> DataFrame:
-    """0-100 score: the mean percent rank of the components over the whole table.
+def percent_ranks(long: DataFrame, group: str, x: str) -> DataFrame:
+    """Rows (group, x, pr): the percent rank of every distinct value within its group, whatever the values' distribution.
 
-    A rank over the whole table as a window would be one task. The components are stacked, their distinct
-    values counted, and each value placed in one of a few thousand ordered slices (by exponent and leading
-    digits); rows below a value are those of the lower slices plus the lower values of its own slice.
+    A rank over a group as a window would be one task. Distinct values are counted and cut into ranges at borders that Spark samples
+    from them, so that ranges have about equally many values; the rows below a value are those of the ranges before, of which only the sums are brought
+    together, and of the lower values of its own. The cut is written down, since it must be the same wherever it is used.
     """
-    x = F.col("x")
-    slice_ = F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * (F.floor(F.log2(F.abs(x)) * 64) + 100_000)).cast("bigint")
-    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).cast("double").alias("x")) for p in parts])).alias("c"))
-    long = long.select(key, "c.part", "c.x").filter(x.isNotNull())
-    values = long.groupBy("part", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("s", slice_)
-    below_slice = W.partitionBy("part").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    slices = values.groupBy("part", "s").agg(F.sum("n").alias("sn"))
-    slices = slices.select("part", "s", F.coalesce(F.sum("sn").over(below_slice), F.lit(0)).alias("below"),
-                           F.sum("sn").over(W.partitionBy("part")).alias("all"))
-    in_slice = W.partitionBy("part", "s").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
-    rank = F.col("below") + F.coalesce(F.sum("n").over(in_slice), F.lit(0))
-    pr = F.when(F.col("all") > 1, rank / (F.col("all") - 1)).otherwise(0.0)
-    ranks = values.join(slices, ["part", "s"]).select("part", "x", pr.alias("pr"))
+    values = long.groupBy(group, x).agg(F.count(F.lit(1)).alias("n"))
+    cut = written(values.repartitionByRange(group, x).withColumn("_range", F.spark_partition_id()), "rank-values")
+    ranges = cut.groupBy(group, "_range").agg(F.sum("n").alias("_sum"))
+    earlier = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select(group, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_below"), F.sum("_sum").over(W.partitionBy(group)).alias("_all"))
+    lower = W.partitionBy(group, "_range").orderBy(x).rowsBetween(W.unboundedPreceding, -1)
+    rank = F.col("_below") + F.coalesce(F.sum("n").over(lower), F.lit(0))
+    pr = F.when(F.col("_all") > 1, rank / (F.col("_all") - 1)).otherwise(0.0)
+    return cut.join(ranges, [group, "_range"]).select(group, x, pr.alias("pr"))
+
+
+def launch_momentum(df: DataFrame, parts: list[str], key: str = "token") -> DataFrame:
+    """0-100 score: the mean percent rank of the components over the whole table."""
+    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(p).alias("part"), (F.col(p).cast("double") + 0.0).alias("x")) for p in parts])).alias("c"))
+    long = long.select(key, "c.part", "c.x").filter(F.col("x").isNotNull())
+    ranks = percent_ranks(long, "part", "x")
     return long.join(ranks, ["part", "x"]).groupBy(key).agg((F.sum("pr") / len(parts) * 100).alias("score"))

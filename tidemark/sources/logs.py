@@ -7,6 +7,7 @@ by one task.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import sliced
@@ -15,9 +16,21 @@ HEADER = r"^\d+\.\s+[🚀📈💎📉]\s+(.+)\s+\(\$([A-Z]+)\)"
 LINES_PER_SLICE = 100_000
 
 
-def read_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Landed log lines: tab-separated file name, line number and text."""
-    return spark.read.schema("file STRING, line_no BIGINT, value STRING").csv(path, sep="\t", quote="")
+def read_lines(spark: SparkSession, path: str, log: str | None = None) -> DataFrame:
+    """Lines of raw text files below ``path`` with the log they are of and their number in it, from 0: file, line_no, value.
+
+    A log is a file, named without its folder and ending; or, with the name of a partition column in ``log``, all files of a folder in the order of their
+    names, as rotated logs are. Files are read in splits by as many tasks as they have, in any order: a line's number is its place in the
+    split and the lines of the splits before, of which only the counts are brought together. Texts are not moved.
+    """
+    meta = F.col("_metadata")
+    name = F.col(log) if log else F.regexp_replace(meta["file_name"], r"\.[^.]*$", "")
+    lines = spark.read.text(path).select(name.alias("file"), meta["file_path"].alias("_path"), meta["file_block_start"].alias("_block_start"),
+                                         F.monotonically_increasing_id().alias("_at"), "value")
+    splits = lines.groupBy("file", "_path", "_block_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("file").orderBy("_path", "_block_start").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.select("_path", "_block_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_block_shift"))
+    return lines.join(splits, ["_path", "_block_start"]).select("file", (F.col("_at") + F.col("_block_shift")).alias("line_no"), "value")
 
 
 def scan_blocks(lines: DataFrame) -> DataFrame:

@@ -60,6 +60,17 @@ def convergence(trades: DataFrame, min_wallets: int, length: str = "24 hours", k
     return per.filter(F.col("wallets") >= min_wallets).select(key, F.col("w.start").alias("bucket"), "wallets")
 
 
+def convergence_sketch(trades: DataFrame, min_wallets: int, length: str = "24 hours", step: str = "2 hours", bits: int = 14, key: str = "key") -> DataFrame:
+    """Tokens bought by enough distinct wallets in the last 24 hours, every 2 hours, by sketches: key, from_ts, wallets.
+
+    Each token and 2-hour slice keeps one sketch of at most 2^bits bytes, merged from the tasks' own, and a window unites twelve of them. So neither state nor
+    shuffle grows with the number of wallets, as the exact form's do. The standard error of the count is 1.04 / sqrt(2^bits), 0.8 %.
+    """
+    small = trades.groupBy(F.window("ts", step).alias("w"), key).agg(F.hll_sketch_agg("wallet", bits).alias("sketch"))
+    big = small.groupBy(F.window(F.window_time("w"), length, step).alias("w"), key).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("wallets"))
+    return big.filter(F.col("wallets") >= min_wallets).select(key, F.col("w.start").alias("from_ts"), "wallets")
+
+
 def volume_spikes(trades: DataFrame, min_volume: float, min_ratio: float = 1.5, length: str = "1 hour", key: str = "key") -> DataFrame:
     w = trades.groupBy(F.window("ts", length).alias("w"), key).agg(
         F.sum("price").alias("volume"), F.count_if(F.col("side") == "buy").alias("buys"), F.count_if(F.col("side") == "sell").alias("sells"))
