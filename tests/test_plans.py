@@ -45,3 +45,27 @@ def test_trades_are_hashed_not_sorted_before_the_shuffle(spark, name):
 @pytest.mark.parametrize("name", ["candles", "wallet_pnl", "sentiment", "threshold_hysteresis"])
 def test_tables_are_read_as_they_are(spark, name):
     assert "REPARTITION" not in plan(spark, name)
+
+
+def test_pattern_scan_reads_trades_once(spark):
+    p = plan(spark, "cascade_first_engine")
+    assert p.count("Scan parquet") == 1 and "SortAggregate" not in p and p.count("Exchange hashpartitioning") <= 4
+
+
+def test_gated_scan_builds_no_candles_of_closed_tokens(spark):
+    """Band and cooldown narrow the trades below the first aggregate, and a run that is repeated changes nothing."""
+    from pyspark.sql import functions as F
+
+    from tidemark.catalog import series
+    from tidemark.plans import pattern_scan
+    from tidemark.session import shared_dir
+    path, trades = shared_dir(spark, "scan-test"), series.pool_trades(spark, SF)
+    wide = trades.select("token").distinct().withColumns({"market_cap": F.lit(400_000.0), "liquidity": F.lit(20_000.0)})
+    kinds = {"order": ["seq"], "base": "1D", "a": "3D", "b": "1D", "c": "1W"}
+    def hits(number, as_of, market=wide):
+        return {r.token for r in pattern_scan.run(trades, market, path, number, as_of, **kinds).collect()}
+    first = hits(0, "2001-03-01 00:00:00")
+    assert first and not hits(1, "2001-03-03 23:59:59") & first and hits(0, "2001-03-01 00:00:00") == first
+    assert hits(2, "2001-03-04 00:00:00") & first  # 72 hours are over, the bound included
+    assert not hits(3, "2001-06-01 00:00:00", wide.withColumn("market_cap", F.lit(500_001.0)))
+    assert not hits(3, "2001-06-01 00:00:00", wide.withColumn("liquidity", F.lit(9_999.0)))

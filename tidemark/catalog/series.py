@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tidemark import bindings as b
 from tidemark import fixed
 from tidemark.catalog.base import query, with_
+from tidemark.functions.values import ntz
 from tidemark.operators import averages
 from tidemark.operators import candles as cd
 from tidemark.operators import monitors as mon
 from tidemark.operators import sliced
 from tidemark.plans import pattern_scan
+from tidemark.session import shared_dir
 
 
 def pool_trades(spark, sf):
@@ -23,7 +25,7 @@ def pool_candles(spark, sf, seconds=b.DAY_3):
     return cd.resample(pool_trades(spark, sf), seconds, ["seq"])
 
 
-def candles_sql(seconds: int, name: str = "bars", key: str = "l_suppkey") -> str:
+def candles_sql(seconds: int, name: str = "bars", key: str = "l_suppkey", where: str = "true") -> str:
     ms = seconds * 1000
     order = "(l_shipdate, l_orderkey, l_linenumber, l_extendedprice / l_quantity)"
     return f"""
@@ -31,7 +33,7 @@ def candles_sql(seconds: int, name: str = "bars", key: str = "l_suppkey") -> str
         arg_min(l_extendedprice / l_quantity, {order}) AS o, max(l_extendedprice / l_quantity) AS h,
         min(l_extendedprice / l_quantity) AS l, arg_max(l_extendedprice / l_quantity, {order}) AS c,
         sum(l_quantity) AS v
-      FROM lineitem GROUP BY 1, 2)"""
+      FROM lineitem WHERE {where} GROUP BY 1, 2)"""
 
 
 def ema_sql(bars: str = "bars", suffix: str = "", n: int = 100) -> str:
@@ -173,6 +175,39 @@ def cascade_first_engine(spark, sf):
     return alerts.select("token", "pattern", "ts", "price", F.round("ema50", 6).alias("ema50"))
 
 
+RUNS = ("2001-03-01 00:00:00", "2001-03-02 12:00:00")
+
+
+def market(spark, sf, as_of):
+    """Market data of a pool at a time: turnover of the two weeks before, and a liquidity from the quantity traded."""
+    t = pool_trades(spark, sf).filter((F.col("ts") <= ntz(as_of)) & (F.col("ts") > ntz(as_of) - F.expr("INTERVAL 14 DAYS")))
+    return t.groupBy("token").agg(F.round(F.sum("value_usd"), 2).alias("market_cap"), (F.sum("qty") * 200).alias("liquidity"))
+
+
+def run_sql(k: int, gate: str) -> list[str]:
+    upto = f"l_shipdate <= TIMESTAMP '{RUNS[k]}'"
+    return [f"""
+market{k} AS (SELECT token, market_cap FROM (SELECT l_suppkey AS token, round(sum(l_extendedprice), 2) AS market_cap, sum(l_quantity) * 200 AS liquidity FROM lineitem
+  WHERE {upto} AND l_shipdate > TIMESTAMP '{RUNS[k]}' - INTERVAL 14 DAYS GROUP BY 1) WHERE market_cap BETWEEN 100000 AND 500000 AND liquidity >= 10000 AND {gate})""",
+            *[candles_sql(n, f"bars_{x}{k}", where=upto) for n, x in ((259_200, "a"), (86_400, "b"), (604_800, "c"))],
+            *[ema_sql(f"bars_{x}{k}", f"_{x}{k}") for x in "abc"], pattern_b_sql(f"_b{k}"), pattern_c_sql(f"_c{k}"), f"""
+alerts{k} AS (SELECT token, pattern, ts, price, ema50 FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY pattern) AS rn FROM (
+  SELECT l.token, 'A' AS pattern, l.bucket AS ts, l.c AS price, l.e AS ema50 FROM bar_a{k} l JOIN bar_a{k} p ON p.token = l.token AND p.i = l.i - 1 WHERE l.i = l.n AND {PATTERN_A}
+  UNION ALL SELECT token, 'B', bucket, c, e FROM bar_b{k} JOIN hitb_b{k} USING (token, i)
+  UNION ALL SELECT token, 'C', bucket, price, ema50 FROM verc_c{k} WHERE verdict = 'hit' AND token IN (SELECT token FROM market{k} WHERE market_cap >= 300000))
+  WHERE token IN (SELECT token FROM market{k})) WHERE rn = 1)"""]
+
+
+@query("pattern_scan_runs", with_(*run_sql(0, "true"), *run_sql(1, "token NOT IN (SELECT token FROM alerts0)")) + " UNION ALL ".join(
+    f"SELECT {k}::BIGINT AS run, token, pattern, ts, price, round(ema50, 6) AS ema50 FROM alerts{k}" for k in (0, 1)))
+def pattern_scan_runs(spark, sf):
+    """Two runs of the gated scan a day and a half apart, the second one made twice: what the first alerted is still cooling down."""
+    path, t = shared_dir(spark, "scan-state"), pool_trades(spark, sf)
+    for k in (0, 1, 1):
+        pattern_scan.run(t, market(spark, sf, RUNS[k]), path, k, RUNS[k], ["seq"], base="1D", a="3D", b="1D", c="1W")
+    return spark.read.parquet(path).select(F.col("run").cast("bigint").alias("run"), "token", "pattern", "ts", "price", F.round("ema50", 6).alias("ema50"))
+
+
 # --- monitors over candle closes -------------------------------------------------------------------
 
 MON_SQL = """
