@@ -196,3 +196,11 @@ def test_training_leaves_no_code_out(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([np.zeros(len(t.split()) + 1, np.uint16).tobytes() for _, t in docs], pa.binary())], ["codes"])
     out = list(lm._train(gru.flat(gru.start(seed=1)))([batch, batch]))
     assert sum(learned) == 2 * sum(len(t.split()) + 1 for _, t in docs) == out[0].column("tokens")[0].as_py() and max(learned) < 1060
+
+
+def test_batches_are_gathered_whole():
+    batches = [pa.RecordBatch.from_arrays([pa.array([i, None]), pa.array([b"x" * i, b""], pa.binary())], ["doc_id", "codes"]) for i in range(1, 30)]
+    got = list(lm.gathered(iter(batches), 100))
+    assert 1 < len(got) < 29
+    assert [x for b in got for x in b.column("codes").to_pylist()] == [x for b in batches for x in b.column("codes").to_pylist()]
+    assert list(lm.gathered(iter([]), 5)) == []

@@ -21,6 +21,7 @@ from tidemark.llm.common import read, spread_join, stored, words
 
 SENT = 1 << 18  # words whose counts are sent to the tasks
 STREAMS = 1024
+SCORED = 10 << 20  # bytes of codes that are scored together
 AT_ONCE = 1 << 22  # codes that are laid out as streams together
 PARTS = 64  # pieces that a parameter vector is summed in
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -151,10 +152,23 @@ def fit(coded: DataFrame, first: np.ndarray) -> np.ndarray:
     return params
 
 
+def gathered(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their codes have ``most`` bytes or more: texts that step together cost one pass over the longest."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("codes").nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _score(params: np.ndarray):
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = gru.shaped(params)
-        for batch in batches:
+        for batch in gathered(batches, SCORED):
             texts = [np.frombuffer(c.as_buffer(), np.uint16) for c in batch.column("codes")]
             names = [c for c in batch.schema.names if c != "codes"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(gru.score(p, texts))], [*names, "net"])
