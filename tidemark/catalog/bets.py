@@ -48,7 +48,7 @@ BETS = with_(MARKETS_SQL, PARSED_SQL, BETS_SQL)
 
 @query("evaluate_bets", BETS + """SELECT id, CASE WHEN edge > 0 THEN 'YES' ELSE 'NO' END AS side, round(abs(edge), 6) AS edge, conf AS confidence,
   p AS probability, extreme AS is_extreme, amount, round(coalesce(frac, 0), 6) AS kelly_fraction,
-  CASE WHEN p < 0.15::DOUBLE AND edge > 0.05::DOUBLE THEN 'LOW_PROB_HIGH_EDGE' END AS warning FROM bets""")
+  CASE WHEN p < 0.15::DOUBLE AND edge > 0.05::DOUBLE THEN 'LOW_PROB_HIGH_EDGE - Review carefully (Fed pattern)' END AS warning FROM bets""")
 def evaluate_bets(spark, sf):
     e = bt.evaluate(markets(spark, sf))
     return e.select("id", "side", F.round("edge", 6).alias("edge"), "confidence", "probability", "is_extreme", "amount",

@@ -85,7 +85,7 @@ WATCH_ADDED = "2026-01-01"  # day that a watchlist row without a date counts as
 SCANNER_AGE_NOTE = "4-10 days (scanner verified)"
 SCANNER_CHAIN = "solana"
 SCANNER_SOURCE_NOTE = "Auto-added from scanner"
-LONGSHOT_WARNING = "LOW_PROB_HIGH_EDGE"
+LONGSHOT_WARNING = "LOW_PROB_HIGH_EDGE - Review carefully (Fed pattern)"
 
 # --- words ---
 BULL_WORDS = ("bull", "bullish", "pump", "moon", " ATH", "breakout", "green", "up", "rise", "gain")
@@ -159,3 +159,20 @@ DAILY_C = {
     "mature": "Mature uptrend with strong support",
 }
 NO_DATA = "Insufficient data"
+
+# --- line formats of scanner output and run logs ---
+LOG_HEADER = r"^\d+\.\s+[🚀📈💎📉]\s+(.+)\s+\(\$([A-Z]+)\)"
+LOG_CHANGE = r"24h:\s*([+-]?[\d.]+)%"
+LOG_MARKET_CAP = r"MC:\s*\$?([\d,]+)"
+LOG_TOKEN = r"/token/([A-Za-z0-9]+)"
+LOG_LINK = "Solscan:"
+LOG_BANNER = "=== Multi-Source"
+LOG_TIME = r"^\[([^\]]+)\]"
+LOG_METRICS = {
+    "unique_tokens": r"Total unique tokens found: (\d+)",
+    "too_fresh": r"Filtered out (\d+) tokens < \d+ days",
+    "too_old": r"Filtered out (\d+) tokens > \d+ days",
+    "in_window": r"Tokens in sweet spot \([^)]*\): (\d+)",
+    "matches": r"Complete: (\d+) sweet spot matches",
+    "others": r"Complete: \d+ sweet spot matches, (\d+) others",
+}

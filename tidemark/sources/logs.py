@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark import fixed
 from tidemark.operators import sliced
 
-HEADER = r"^\d+\.\s+[🚀📈💎📉]\s+(.+)\s+\(\$([A-Z]+)\)"
 LINES_PER_SLICE = 100_000
 
 
@@ -41,7 +41,7 @@ def scan_blocks(lines: DataFrame) -> DataFrame:
     group, so it is built by a plain aggregate.
     """
     v = F.col("value")
-    is_header, is_link = v.rlike(HEADER), v.contains("Solscan:")
+    is_header, is_link = v.rlike(fixed.LOG_HEADER), v.contains(fixed.LOG_LINK)
     cut = sliced.slice_number(lines, "line_no", LINES_PER_SLICE)
     seg = sliced.running_sums(cut, ["file"], ["line_no"], {
         "headers": is_header.cast("bigint"), "links": is_link.cast("bigint")})
@@ -50,15 +50,15 @@ def scan_blocks(lines: DataFrame) -> DataFrame:
     def newest(cond, value):
         return F.max(F.when(cond, F.struct("line_no", value.alias("x"))))["x"]
 
-    change = F.regexp_extract(v, r"24h:\s*([+-]?[\d.]+)%", 1)
-    mc = F.regexp_replace(F.regexp_extract(v, r"MC:\s*\$?([\d,]+)", 1), ",", "")
+    change = F.regexp_extract(v, fixed.LOG_CHANGE, 1)
+    mc = F.regexp_replace(F.regexp_extract(v, fixed.LOG_MARKET_CAP, 1), ",", "")
     rec = seg.groupBy("file", "headers", "links").agg(
-        newest(is_header, F.trim(F.regexp_extract(v, HEADER, 1))).alias("name"),
-        newest(is_header, F.regexp_extract(v, HEADER, 2)).alias("symbol"),
+        newest(is_header, F.trim(F.regexp_extract(v, fixed.LOG_HEADER, 1))).alias("name"),
+        newest(is_header, F.regexp_extract(v, fixed.LOG_HEADER, 2)).alias("symbol"),
         newest(v.contains("Price:"), F.trim(F.get(F.split(v, "Price:"), F.lit(1)))).alias("price"),
         newest(v.contains("24h:") & (change != ""), change.try_cast("double")).alias("change_24h"),
         newest(v.contains("MC:") & (mc != ""), mc.try_cast("bigint")).alias("market_cap"),
-        newest(is_link, F.nullif(F.regexp_extract(v, r"/token/([A-Za-z0-9]+)", 1), F.lit(""))).alias("address"),
+        newest(is_link, F.nullif(F.regexp_extract(v, fixed.LOG_TOKEN, 1), F.lit(""))).alias("address"),
         F.count_if(is_link).alias("closed"))
     return (rec.filter(F.col("symbol").isNotNull() & (F.col("closed") > 0))
             .select("file", "name", "symbol", F.coalesce("price", F.lit("")).alias("price"),
@@ -66,23 +66,13 @@ def scan_blocks(lines: DataFrame) -> DataFrame:
                     F.coalesce("market_cap", F.lit(0)).alias("market_cap"), "address"))
 
 
-METRICS = {
-    "unique_tokens": r"Total unique tokens found: (\d+)",
-    "too_fresh": r"Filtered out (\d+) tokens < \d+ days",
-    "too_old": r"Filtered out (\d+) tokens > \d+ days",
-    "in_window": r"Tokens in sweet spot \([^)]*\): (\d+)",
-    "matches": r"Complete: (\d+) sweet spot matches",
-    "others": r"Complete: \d+ sweet spot matches, (\d+) others",
-}
-
-
 def run_metrics(lines: DataFrame) -> DataFrame:
     """Funnel counts and duration of each run in the run logs; a banner line starts a run."""
     v = F.col("value")
     cut = sliced.slice_number(lines, "line_no", LINES_PER_SLICE)
-    runs = sliced.running_sums(cut, ["file"], ["line_no"], {"run": v.contains("=== Multi-Source").cast("bigint")})
-    at = F.unix_timestamp(F.try_to_timestamp(F.regexp_extract(v, r"^\[([^\]]+)\]", 1)))
+    runs = sliced.running_sums(cut, ["file"], ["line_no"], {"run": v.contains(fixed.LOG_BANNER).cast("bigint")})
+    at = F.unix_timestamp(F.try_to_timestamp(F.regexp_extract(v, fixed.LOG_TIME, 1)))
     out = runs.filter(F.col("run") > 0).groupBy("file", "run").agg(
-        *[F.max(F.regexp_extract(v, p, 1).try_cast("bigint")).alias(n) for n, p in METRICS.items()],
+        *[F.max(F.regexp_extract(v, p, 1).try_cast("bigint")).alias(n) for n, p in fixed.LOG_METRICS.items()],
         (F.max(at) - F.min(at)).alias("seconds"))
     return out.na.fill(0, ["too_fresh", "too_old"])
