@@ -98,3 +98,12 @@ def test_an_edit_leaves_a_chosen_gram():
             for other in {word[:k] + word[k + 1:], word[:k] + b"b" + word[k:], word[:k] + b"c" + word[k + 1:]} - {word}:
                 a, b = ({(g, p) for _, _, p, g in zip(*variants.Words([x]).chosen(grams, n), strict=True)} for x in (word, other))
                 assert any(g == h and abs(p - q) <= 1 for g, p in a for h, q in b)
+
+
+def test_no_pairs_meet_nowhere():
+    words = [b"abcdefg", b"abcdefh", b"zzzzzz"]
+    chosen = variants._Chosen(words, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in chosen.first(none, none, np.zeros(0, bool))] == [0, 0] and variants.near(words, none, none).tolist() == []
+    assert variants.near(words, np.array([0, 0]), np.array([1, 2])).tolist() == [True, False]
+    assert variants._summed(words, np.ones(3, np.int64), none, none) is None
