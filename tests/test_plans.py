@@ -69,3 +69,19 @@ def test_gated_scan_builds_no_candles_of_closed_tokens(spark):
     assert hits(2, "2001-03-04 00:00:00") & first  # 72 hours are over, the bound included
     assert not hits(3, "2001-06-01 00:00:00", wide.withColumn("market_cap", F.lit(500_001.0)))
     assert not hits(3, "2001-06-01 00:00:00", wide.withColumn("liquidity", F.lit(9_999.0)))
+
+
+def test_rollup_has_parts_for_its_rows(spark, monkeypatch):
+    import datetime as dt
+    from tidemark.operators import agents
+    day = dt.datetime(2024, 1, 31)
+    ex = [(i % 5 if i % 7 else None, day + dt.timedelta(days=i % 3), 10.0, float(i % 4 - 1), "settled", 0.5) for i in range(90)]
+    jobs = [(i % 6, "completed" if i % 2 else "failed", day + dt.timedelta(days=i % 40), i) for i in range(60)]
+    e = spark.createDataFrame(ex, "agent BIGINT, executed_at TIMESTAMP_NTZ, amount DOUBLE, pnl DOUBLE, status STRING, confidence DOUBLE")
+    j = spark.createDataFrame(jobs, "agent BIGINT, status STRING, completed_at TIMESTAMP_NTZ, minutes BIGINT")
+    want = sorted(map(str, agents.agent_rollup(e, j).collect()))
+    monkeypatch.setattr(agents, "ROLLED", 10)
+    got = agents.agent_rollup(e, j)
+    after = got._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert "REPARTITION_BY_NUM" in after and after.count("Exchange") == 1 and ", 16)" in after
+    assert sorted(map(str, got.collect())) == want and len(want) > 40

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.functions.values import hours_between, minutes_between, nz
 
+ROLLED = 250_000  # rows of the inputs for each part of a rollup
+
 
 def latest_state(updates: DataFrame, key: str, ts: str, tie: str, working: str = "working") -> DataFrame:
     """Newest row per key; ``last_activity`` is the newest time the key was working."""
@@ -64,8 +66,10 @@ def daily_performance(executions: DataFrame) -> DataFrame:
 def agent_rollup(executions: DataFrame, jobs: DataFrame) -> DataFrame:
     """Daily, weekly and monthly figures per agent; the average confidence is over executions that have one, null without any.
 
-    Both inputs are reduced to one row per agent and day before the three periods multiply the rows.
+    Both inputs are reduced to one row per agent and day, which are dealt out by agent, before the three periods multiply the rows. There are as many
+    parts as the inputs' rows ask for, so no task's groups grow with the input; an agent has at most one row of each input for a day.
     """
+    parts = -(-(executions.count() + jobs.count()) // ROLLED) + 1
     e = daily_performance(executions).select(
         "agent", "day", "trades", "winners", "losers", "total_pnl", "volume", "confidence", "rated", *[F.lit(0).cast("bigint").alias(c) for c in ("done", "failed", "minutes")])
     finished = jobs.filter(F.col("status").isin("completed", "failed"))
@@ -76,7 +80,7 @@ def agent_rollup(executions: DataFrame, jobs: DataFrame) -> DataFrame:
                  *[F.lit(0.0).alias(c) for c in ("total_pnl", "volume", "confidence")], F.lit(0).cast("bigint").alias("rated"), "done", "failed", "minutes"))
     period = F.explode(F.array(*[F.struct(F.lit(n).alias("period"), F.to_date(F.date_trunc(u, "day")).alias("period_start"))
                                  for n, u in (("daily", "day"), ("weekly", "week"), ("monthly", "month"))])).alias("p")
-    r = (e.unionByName(j).select("*", period).groupBy("agent", "p.period", "p.period_start")
+    r = (e.unionByName(j).repartition(parts, "agent").select("*", period).groupBy("agent", "p.period", "p.period_start")
          .agg(F.sum("trades").alias("trades"), F.sum("winners").alias("winners"), F.sum("losers").alias("losers"), F.round(F.sum("total_pnl") + 0.0, 4).alias("total_pnl"),
               F.round(F.sum("volume"), 2).alias("volume"), F.sum("done").alias("jobs_completed"), F.sum("failed").alias("jobs_failed"),
               F.sum("minutes").alias("minutes"), F.round(F.sum("confidence") + 0.0, 4).alias("confidence"), F.sum("rated").alias("rated")))
