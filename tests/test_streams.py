@@ -58,3 +58,19 @@ def test_cooldown_takes_rows_out_of_order(spark, tmp_path, files):
     source = wi.timed(wi.read_files(spark, path, "*.parquet", files_per_batch=files), "2000 seconds")
     got = wi.run_available(st.cooldown(source, "STRING", hours=2 / 3600), "t_late")
     assert sorted(r.sec for r in got.collect()) == [998, 1000, 1999]
+
+
+@pytest.mark.parametrize("files", [1, 100])
+def test_deadlines_wait_in_buckets(spark, tmp_path, files):
+    path = str(tmp_path / "due")
+    parts = ([("a", 1000), ("b", 1001), (None, 1002), ("a", 1003)], [("b", 4000), ("c", 4001), (None, 4002)], [("d", 9000)], [("e", 9500)], [("a", 10500)], [("z", 30000)])
+    for rows in parts:
+        df = spark.createDataFrame(rows, "key STRING, s BIGINT").select("key", F.timestamp_seconds("s").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(path)
+    due = st.deadlines(wi.timed(wi.read_files(spark, path, "*.parquet", files_per_batch=files), "100000 seconds"), "STRING", hours=1)
+    assert "bucket" in due._jdf.queryExecution().analyzed().toString()
+    assert wi.run_available(due, "t_due").count() == 0  # the watermark is far behind
+    due = st.deadlines(wi.timed(wi.read_files(spark, path, "*.parquet", files_per_batch=files), "0 seconds"), "STRING", hours=1)
+    got = sorted(((r.key or "", r.expired_at // 1000) for r in wi.run_available(due, "t_due").collect()))
+    again = [("a", 14100)] if files == 1 else []  # in one batch the key waits already
+    assert got == sorted([("", 4602), ("a", 4600), ("b", 4601), ("c", 7601), ("d", 12600), ("e", 13100), *again])

@@ -17,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark import fixed
 
+BUCKETS = 1024  # of keys that wait for a deadline
+
 
 def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
@@ -159,30 +161,54 @@ class Heartbeat(StatefulProcessor):
 
 
 class Deadline(StatefulProcessor):
-    """Reports a key when its deadline passes."""
+    """Reports keys when their deadlines pass. A group is a bucket of keys, which share one state and one timer.
+
+    A key that waits keeps the deadline it came with, the earliest of its batch; rows without a time have none.
+    """
+
+    def __init__(self, key_type: str):
+        self.kind = f"key {key_type}, due BIGINT"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("s", "due BIGINT")
+        self.waiting = handle.getListState("waiting", self.kind)
+
+    def wait(self, keys: list, dues: list) -> None:
+        """Keep these keys as the ones that wait, with a timer at the earliest deadline."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if keys:
+            self.waiting.put(list(zip(keys, dues, strict=True)))
+            self.handle.registerTimer(min(dues))
+        else:
+            self.waiting.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = int(_rows(rows, ["due"])["due"].iloc[0])
-        if not self.state.exists():
-            self.state.update((due,))
-            self.handle.registerTimer(due)
+        due: dict = {}
+        for batch in rows:
+            some = batch[batch["due"].notna()]
+            for k, d in zip(some["key"].tolist(), some["due"].tolist(), strict=True):
+                k, d = None if pd.isna(k) else k, int(d)
+                due[k] = min(d, due.get(k, d))
+        due |= dict(self.waiting.get())
+        self.wait(list(due), list(due.values()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        due = self.state.get()[0]
-        self.state.clear()
-        yield pd.DataFrame({"key": [key[0]], "expired_at": [due]})
+        now, past, rest = timerValues.getCurrentWatermarkInMs(), [], []
+        for k, d in self.waiting.get():
+            (past if d <= now else rest).append((k, d))
+        self.wait([k for k, _ in rest], [d for _, d in rest])
+        if past:
+            keys, dues = zip(*past, strict=True)
+            yield pd.DataFrame({"key": pd.Series(keys, dtype=object if None in keys else None), "expired_at": dues})
 
     def close(self) -> None:
         pass
 
 
-def _run(keyed: DataFrame, processor: StatefulProcessor, out: str, timers: bool = False) -> DataFrame:
-    return keyed.groupBy("key").transformWithStateInPandas(
+def _run(keyed: DataFrame, processor: StatefulProcessor, out: str, timers: bool = False, by: str = "key") -> DataFrame:
+    return keyed.groupBy(by).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime" if timers else "none")
 
 
@@ -220,6 +246,10 @@ def heartbeats(beats: DataFrame, key_type: str, minutes: float = 5) -> DataFrame
 
 
 def deadlines(opportunities: DataFrame, key_type: str, hours: float = 6) -> DataFrame:
-    """Opportunities whose window has passed; ``opportunities`` has the columns key, ts."""
-    o = opportunities.select("key", "ts", (F.unix_millis("ts") + int(hours * 3_600_000)).alias("due"))
-    return _run(o, Deadline(), f"key {key_type}, expired_at BIGINT", timers=True)
+    """Opportunities whose window has passed; ``opportunities`` has the columns key, ts.
+
+    Keys wait in buckets: a call of Python for each bucket and batch costs far less than one for each key. Rows without a key are a bucket of their own.
+    """
+    bucket = F.coalesce(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)) + F.when(F.col("key").isNotNull(), 0), F.lit(-1)).alias("bucket")
+    o = opportunities.select(bucket, "key", "ts", (F.unix_millis("ts") + int(hours * 3_600_000)).alias("due"))
+    return _run(o, Deadline(key_type), f"key {key_type}, expired_at BIGINT", timers=True, by="bucket")
