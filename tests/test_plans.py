@@ -85,3 +85,20 @@ def test_rollup_has_parts_for_its_rows(spark, monkeypatch):
     after = got._jdf.queryExecution().executedPlan().toString().split("Union")[0]
     assert "REPARTITION_BY_NUM" in after and after.count("Exchange") == 1 and ", 16)" in after
     assert sorted(map(str, got.collect())) == want and len(want) > 40
+
+
+def test_candle_payloads_are_parsed_once(spark):
+    from tidemark.sources import vendors
+    rows = ['{"token":"a","items":[{"unixTime":7,"o":1.5},null]}', '{"token":"b","items":null}', '{"token":"c"}', '{"token":"d","items":[]}', None]
+    raw = spark.createDataFrame([(r,) for r in rows], "raw STRING")
+    got = vendors.norm_ohlcv(vendors.parse(raw, "raw", vendors.OHLCV))
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 0.0, 0.0, 0.0, 0.0, 0.0), ("a", 7, 1.5, 0.0, 0.0, 0.0, 0.0)]
+    assert "Filter" not in got._jdf.queryExecution().executedPlan().toString()
+    arrays = spark.createDataFrame([('{"token":"a","items":[[7000,1,2,3,4],[8000]]}',), ('{"token":"b"}',)], "raw STRING")
+    got = vendors.norm_ohlc(vendors.parse(arrays, "raw", vendors.OHLC))
+    assert sorted(map(tuple, got.collect())) == [("a", 7, 1.0, 2.0, 3.0, 4.0, 0.0), ("a", 8, None, None, None, None, 0.0)]
+    assert "Filter" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candles_of_payloads_are_built_once(spark):
+    assert "Aggregate" not in plan(spark, "norm_ohlcv")
