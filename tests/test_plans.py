@@ -102,3 +102,11 @@ def test_candle_payloads_are_parsed_once(spark):
 
 def test_candles_of_payloads_are_built_once(spark):
     assert "Aggregate" not in plan(spark, "norm_ohlcv")
+
+
+def test_snapshot_is_scored_once(spark, monkeypatch):
+    from tidemark.sources import tables
+    seen, write = [], tables.write_snapshot
+    monkeypatch.setattr(tables, "write_snapshot", lambda s, *a: (seen.append(s._jdf.queryExecution().executedPlan().toString()), write(s, *a))[1])
+    assert QUERIES["snapshot_write"].run(spark, SF).count()
+    assert len(seen) == 3 and not any("Join" in p or "Exchange" in p for p in seen)
