@@ -70,3 +70,16 @@ def test_wide_ids_and_random_access():
     assert [(d, a, x.tolist()) for d, a, x in seq.documents()] == [(d, a, x.tolist()) for d, a, x in zip([1, None, 3, 4], [0, 1, 6, 106], texts, strict=True)]
     with pytest.raises(IndexError):
         seq[14]
+
+
+def test_few_encodings_are_held_at_once(plain):
+    class Counted:
+        most = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.most = max(self.most, len(texts))
+            return plain.encode_batch_fast(texts, **options)
+    counted, texts = Counted(), [f"word {i} é" for i in range(3 * packing.AT_ONCE + 5)]
+    got = packing.encode_in_parts(counted, texts)
+    assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counted.most == packing.AT_ONCE

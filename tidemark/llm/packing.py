@@ -24,6 +24,7 @@ END_ID = 1
 PLAIN = r"[a-zß-öø-ÿ]+"
 TRAILING = ".,!*$%#&|;:?"
 KNOWN_WORDS = 150_000
+AT_ONCE = 128  # texts whose encodings are held together
 SPARE = 0.0005  # share of a sequence that a pattern of the program may leave free; the rest is packed best-fit
 PRICED = 64  # lengths that a step prices
 PULL = 0.25  # how far the weight of a length that is covered falls
@@ -35,6 +36,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def encode_in_parts(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text. The tokenizer's notes on a text take far more than its ids, so those of a few texts are held at once."""
+    return [np.asarray(e.ids, np.uint32) for i in range(0, len(texts), AT_ONCE) for e in tokenizer.encode_batch_fast(texts[i:i + AT_ONCE], add_special_tokens=False)]
+
+
 class _Runs:
     """Ids of runs of letters or punctuation, each one pre-token, as a growing ragged array; one for each worker process."""
 
@@ -57,8 +63,7 @@ class _Runs:
         """Ids of all known runs one after the other, and where each run ends; new ones are encoded, many in one text."""
         if len(self.known) > self.done:
             new = list(self.known)[self.done:]
-            got = self.light.encode_batch_fast([" ".join(new[i:i + 64]) for i in range(0, len(new), 64)], add_special_tokens=False)
-            ids = np.concatenate([np.asarray(e.ids, np.uint32) for e in got])
+            ids = np.concatenate(encode_in_parts(self.light, [" ".join(new[i:i + 64]) for i in range(0, len(new), 64)]))
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(new):
                 raise ValueError("a run of letters or punctuation was not one pre-token")
@@ -120,7 +125,7 @@ def encode_words(distinct: list[bytes], path: str) -> tuple[np.ndarray, np.ndarr
     sizes = sizes.reshape(n, 2).sum(axis=1)
     begin = np.cumsum(sizes) - sizes
     if len(odd):
-        rest = [np.asarray(e.ids, np.uint32) for e in runs.full.encode_batch_fast([distinct[i].decode() for i in odd], add_special_tokens=False)]
+        rest = encode_in_parts(runs.full, [distinct[i].decode() for i in odd])
         sizes[odd] = [len(x) for x in rest]
         begin[odd] = len(ids) + np.cumsum(sizes[odd]) - sizes[odd]
         ids = np.concatenate([ids, *rest])

@@ -46,13 +46,14 @@ def file_bytes(doc_ids: list[int | None], texts: list[np.ndarray], kind: pa.Data
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     total, starts = int(sizes.sum()), np.cumsum(sizes) - sizes
     n = -(-total // length)
-    ids = np.zeros(n * length, kind.to_pandas_dtype())
+    ids, mask = np.zeros(n * length, kind.to_pandas_dtype()), np.zeros(n * length, bool)
+    mask[:total] = True
     np.concatenate(texts, out=ids[:total], casting="same_kind")
     form = schema(length, kind, notes)
     first = np.searchsorted(starts, np.arange(n + 1) * length).astype(np.int32)  # the first document that begins in each row
     docs = pa.ListArray.from_arrays(pa.array(first), pa.StructArray.from_arrays(
         [pa.array(doc_ids, pa.int64()), pa.array((starts % length).astype(np.int32))], fields=list(form.field("docs").type.value_type)))
-    whole = pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(np.arange(n * length) < total), length),
+    whole = pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length),
                                         docs.cast(form.field("docs").type)], schema=form)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_file(sink, form) as out:
@@ -120,7 +121,8 @@ def _files(path: str, end: int, kind: pa.DataType, length: int, rows: int, file_
 
         def closed():
             data = file_bytes(names, texts, kind, length, rows, {"part": str(part), "number": str(number)})
-            return pa.RecordBatch.from_arrays([pa.array([memoryview(data)[:-len(MAGIC)]], pa.binary())], ["data"])
+            ends = pa.py_buffer(np.array([0, data.size - len(MAGIC)], np.int32))
+            return pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), 1, [None, ends, data])], ["data"])  # the file itself, not a copy
         for batch in batches:
             part = batch.column("part")[0].as_py()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode_texts(batch.column("text"), path, end), strict=True):
