@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -204,3 +205,14 @@ def test_batches_are_gathered_whole():
     assert 1 < len(got) < 29
     assert [x for b in got for x in b.column("codes").to_pylist()] == [x for b in batches for x in b.column("codes").to_pylist()]
     assert list(lm.gathered(iter([]), 5)) == []
+
+
+def test_vocabulary_is_counted_in_batches(spark):
+    texts = {0: "A b  a\tÄ ä b", 2: "", 3: None, 7: " \n", 9: "a\x0bb\x0cc\x1cc d e", None: "b Z"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id LONG, text STRING")
+    held = {r.doc_id for r in docs.filter(lm.held_out(F.col("doc_id"))).collect()}
+    want = collections.Counter(w for k, t in texts.items() if k not in held for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    counted = lm.vocabulary(docs)
+    assert {r["word"]: r["c"] for r in counted.collect()} == want and want["b"] > 2
+    assert counted.filter(F.col("h") != F.xxhash64("word")).isEmpty()
+    assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()

@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import gru
 from tidemark.llm.batches import batch_words, sliced
-from tidemark.llm.common import read, spread_join, stored, words
+from tidemark.llm.common import read, spread_join, stored
 
 SENT = 1 << 18  # words whose counts are sent to the tasks
 STREAMS = 1024
 SCORED = 10 << 20  # bytes of codes that are scored together
 AT_ONCE = 1 << 22  # codes that are laid out as streams together
 PARTS = 64  # pieces that a parameter vector is summed in
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 CODED = ("rid long, doc_id long, held_out boolean, n_tokens long, codes binary, known long, logs double, rest_logs double, n_rest long, "
          "far array<long>")
@@ -35,11 +34,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
+def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch's distinct words and how often they occur in it."""
+    for batch in batches:
+        _, codes, distinct = batch_words(batch.column("text"), lower=True)
+        yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.binary()), pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())], ["word", "n"])
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """Words of the training documents and how often they occur: word, h (64-bit hash), c. Summed before the exchange."""
-    lowered = F.translate("text", UPPER, LOWER)
-    each = docs.filter(~held_out(F.col("doc_id"))).select(F.explode(words(lowered)).alias("word"))
-    return each.groupBy("word").agg(F.count(F.lit(1)).alias("c")).withColumn("h", F.xxhash64("word"))
+    """Words of the training documents and how often they occur: word, h (64-bit hash), c. Summed by batch and by task before the exchange."""
+    each = docs.filter(~held_out(F.col("doc_id"))).select("text").mapInArrow(sliced(_counts), "word binary, n long")
+    return each.groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("n").alias("c")).withColumn("h", F.xxhash64("word"))
 
 
 def _code(sent: np.ndarray, counts: np.ndarray, head: int, end: int):
