@@ -166,7 +166,7 @@ class Deadline(StatefulProcessor):
     A key that waits keeps the deadline it came with, the earliest of its batch; rows without a time have none.
     """
 
-    def __init__(self, key_type: str):
+    def __init__(self, key_type: str = "STRING"):
         self.kind = f"key {key_type}, due BIGINT"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
