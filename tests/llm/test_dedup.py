@@ -1,6 +1,7 @@
 """Near duplicates, repeated passages and fingerprints against brute force."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -286,3 +287,96 @@ def test_one_id_on_very_many_rows_is_cut_by_its_texts(spark):
     own = df.withColumn("h", F.xxhash64("text")).withColumn("chunk", fingerprints.chunks(df, 20))
     assert max(r["count"] for r in own.groupBy("chunk").count().collect()) <= 60
     assert fingerprints.fingerprints(df).count() == 440
+
+
+def in_batches(rows, names, rnd):
+    import pyarrow as pa
+
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+    cuts = sorted({0, len(rows), *(rnd.randrange(len(rows)) for _ in range(len(rows) // 4))})
+    return [pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in columns], names) for a, b in itertools.pairwise(cuts)]
+
+
+def rows_of(batches):
+    return sorted(tuple(r.values()) for b in batches for r in b.to_pylist())
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_minhashes_of_several_documents_pass_through(seed):
+    rnd = random.Random(seed)
+    rows = sorted((rnd.randrange(-9, 9), rnd.randrange(1 + seed * seed), k, k) for k in range(rnd.choice([1, 7, 80])))
+    want = [r for r in rows if len({d for v, d, *_ in rows if v == r[0]}) > 1]
+    assert rows_of(passages._shared(in_batches(rows, ["v", "doc_id", "place", "c"], rnd))) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [2, 500_000])
+@pytest.mark.parametrize("seed", range(8))
+def test_first_meetings_in_small_batches(monkeypatch, seed, most):
+    monkeypatch.setattr(passages, "MEETINGS", most)
+    rnd = random.Random(seed)
+    rows, n = [], rnd.choice([1, 9, 120])
+    for _ in range(n):
+        l, size = rnd.randrange(300), rnd.randrange(60)
+        rows.append((rnd.randrange(-5, 5), rnd.randrange(2 + seed * 2), l, l + size, l + 3, l + 9))
+    rows.sort()
+    packed = [(q, d, l << 32 | r, a << 32 | b) for q, d, l, r, a, b in rows]
+    got = [r for b in passages._first_meetings(in_batches(packed, ["q", "doc_id", "wide", "core"], rnd)) for r in b.to_pylist()]
+    more, pairs = [], []
+    for q in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == q]
+        rep = min(r[1] for r in own)
+        least, most_r = min(r[2] for r in own if r[1] == rep), max(r[3] for r in own if r[1] == rep)
+        pairs += [(d, rep, l, r, least, most_r) for _, d, l, r, _, _ in own if d > rep]
+        if len({r[1] for r in own}) > 2:
+            more += [(q, d, rep, l, r, a, b) for _, d, l, r, a, b in own if d > rep]
+    assert sorted(tuple(r.values()) for r in got if r["q"] is not None) == sorted(more)
+    found = [np.array(x, np.int64) for x in zip(*[tuple(r.values())[1:] for r in got if r["q"] is None], strict=True)]
+    want = islands(pairs)
+    assert islands([tuple(map(int, r)) for r in zip(*found, strict=True)]) == want
+    if pairs and most > 2:
+        assert sorted(zip(*(x.tolist() for x in found), strict=True)) == want  # one task joins all it sees
+
+
+def islands(pairs):
+    out = []
+    for d, rep, l, r, a, b in sorted(pairs):
+        if out and out[-1][:2] == (d, rep) and l <= out[-1][3]:
+            out[-1] = (d, rep, out[-1][2], max(r, out[-1][3]), min(a, out[-1][4]), max(b, out[-1][5]))
+        else:
+            out.append((d, rep, l, r, a, b))
+    return out
+
+
+def test_no_pair_that_is_alike_is_left_out_before():
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2**32, 160, np.uint32)
+    texts = []
+    for n in range(200):
+        x = np.concatenate([rng.integers(0, 2**32, rng.integers(0, 40), np.uint32), y[rng.integers(0, 60):rng.integers(50, 160)]])
+        x[rng.random(len(x)) < rng.choice([0, 0.1, 0.15, 0.5])] = 7
+        texts.append(x[:rng.integers(0, 200)])
+    some = passages.promising(np.isin(np.concatenate(texts), y), np.array([len(x) for x in texts]), 30, 80)
+    found = np.array([bool(passages.alike(x, y, 30, 80)) for x in texts])
+    assert found.any() and not (found & ~some).any() and not some.all()
+
+
+def test_texts_of_a_family_are_moved_once_for_a_tile_of_pairs(spark, monkeypatch):
+    """Variants under 80 % alike meet each other in many pairs; each text goes to few tiles."""
+    rnd, base = random.Random(9), numbered(1, 300)
+    docs = [(i, " ".join(w if rnd.random() > 0.05 else f"v{i}-{k}" for k, w in enumerate(base))) for i in range(40)]
+    kept = {}
+    write = passages.released
+
+    def released(df, purpose):
+        out = write(df, purpose)
+        kept.setdefault(purpose, []).append(out)
+        return out
+    monkeypatch.setattr(passages, "released", released)
+    passages.repeats(spark.createDataFrame(docs, "doc_id BIGINT, text STRING")).collect()
+    pairs = moved = 0
+    for tiles in kept["passage-tiles"]:
+        rows = tiles.collect()
+        pairs += len(rows)
+        moved += len({(r.tile, i) for r in rows for i in (r.doc_id, r.rep)})
+    assert pairs > 200 and moved < pairs / 2
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
