@@ -380,3 +380,53 @@ def test_texts_of_a_family_are_moved_once_for_a_tile_of_pairs(spark, monkeypatch
         moved += len({(r.tile, i) for r in rows for i in (r.doc_id, r.rep)})
     assert pairs > 200 and moved < pairs / 2
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def placed(words, k, at=()):
+    """``words`` with others at the places ``at``, among words of its own."""
+    return numbered(f"before{k}", 30) + [f"edit{k}-{i}" if i in at else w for i, w in enumerate(words)] + numbered(f"after{k}", 30)
+
+
+def pairs_of(spark, docs):
+    got = passages.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id BIGINT, text STRING")).collect()
+    return {(r.doc_id, r.other_id) for r in got}
+
+
+def test_a_document_with_a_row_still_meets_those_without(spark):
+    """Of three, the last is like the two others, which are not alike: both links have a row."""
+    docs = []
+    for g in range(60):
+        one = numbered(f"chain{g}", 54)
+        docs += [(g, placed(one, f"a{g}", (8,))), (100 + g, placed(one, f"b{g}", (44,))), (200 + g, placed(one, f"c{g}"))]
+    got = pairs_of(spark, docs)
+    assert all(a % 100 == b % 100 and a >= 200 for a, b in got)  # 0.65 alike at most without the third
+    linked = {b for _, b in got}
+    # each pair meets under two of four functions in 97 cases of 100, and a row of one pair costs the other nothing
+    assert len(linked & set(range(60))) >= 56 and len(linked & set(range(100, 160))) >= 56
+
+
+def test_a_row_between_two_classes_stays(spark):
+    kind = "doc_id long, start long, stop long, other_id long, other_start long, other_stop long, similarity double"
+    rows = [(a, 0, 60, b, 0, 60, 0.9) for a, b in [(4, 1), (3, 2), (4, 3), (12, 10), (13, 10), (13, 12), (23, 20), (24, 20), (24, 21), (23, 21), (24, 23)]]
+    got = {(r.doc_id, r.other_id) for r in passages._once(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {(4, 1), (3, 2), (4, 3), (12, 10), (13, 10), (23, 20), (24, 20), (24, 21), (23, 21)}
+
+
+def test_classes_are_those_of_all_pairs(spark):
+    """Variants of one text: rows join whatever the pairs alone join."""
+    rnd, base = random.Random(11), numbered("family", 70)
+    docs = [(i, placed(base, i, {rnd.randrange(70) for _ in range(rnd.randrange(4))})) for i in range(24)]
+    alone = set()
+    for a, b in itertools.combinations(docs, 2):
+        x, y = (np.array([hash(tuple(w[k:k + 5])) & 0xFFFFFFFF for k in range(len(w) - 4)], np.uint32) for w in (a[1], b[1]))
+        if passages.alike(y, x, 46, 80):
+            alone.add((b[0], a[0]))
+    got = pairs_of(spark, docs)
+    assert got <= alone and 10 < len(alone) < 200
+
+    def classes(pairs):
+        root = {i: i for i, _ in docs}
+        for a, b in sorted(pairs) * len(docs):
+            root[a] = root[b] = min(root[a], root[b])
+        return root
+    assert classes(got) == classes(alone)
