@@ -430,3 +430,10 @@ def test_classes_are_those_of_all_pairs(spark):
             root[a] = root[b] = min(root[a], root[b])
         return root
     assert classes(got) == classes(alone)
+
+
+def test_borders_of_ranges_are_literals(spark):
+    """They are not read from text again for each row: that took as long as rows times ranges."""
+    df = spark.range(4000).selectExpr("id AS doc_id", "'x' AS text", "id AS h")
+    plan = df.select(fingerprints.chunks(df, 10).alias("chunk"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("filter(") <= 2 * plan.count("transform(") <= 8

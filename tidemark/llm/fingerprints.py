@@ -67,7 +67,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _longs(values: list[int]) -> Column:
-    return F.expr(f"transform(split('{','.join(map(str, values))}', ','), x -> cast(x AS bigint))") if values else F.array().cast("array<bigint>")
+    """An array that Spark folds into one literal before any row is read."""
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') AS array<bigint>)") if values else F.array().cast("array<bigint>")
 
 
 def chunks(docs: DataFrame, rows: int) -> Column:
@@ -83,20 +84,30 @@ def chunks(docs: DataFrame, rows: int) -> Column:
     found = found or []
     borders = sorted({*found, *(a + 1 for a, b in zip(found, found[1:]) if a == b and a < (1 << 63) - 1)})  # an id that is several quantiles is a range of its own
     step = max(1, int(len(borders) ** 0.5))
-    every = _longs(borders)
-    coarse = F.size(F.filter(_longs(borders[step - 1::step]), lambda b: b <= F.col("doc_id")))  # blocks of borders that lie below
-    inner = F.size(F.filter(F.slice(every, coarse * step + 1, step), lambda b: b <= F.col("doc_id"))) if borders else F.lit(0)
-    part = (F.lit(len(borders)) - coarse * step - inner).cast("bigint")
+    blocks = _longs(borders[step - 1::step])
+
+    def part_of(coarse: Column) -> Column:
+        """The part of an id that ``coarse`` blocks of borders lie below."""
+        inner = F.size(F.filter(F.slice(_longs(borders), coarse * step + 1, step), lambda b: b <= F.col("doc_id"))) if borders else F.lit(0)
+        return (F.lit(len(borders)) - coarse * step - inner).cast("bigint")
+
+    def once(value: Column, then) -> Column:
+        """``then`` of a value that is found once for each row, however often ``then`` names it."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+    part = once(F.size(F.filter(blocks, lambda b: b <= F.col("doc_id"))), part_of)
     held = {r["part"]: r for r in ids.groupBy(part.alias("part")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).collect()}
     of = range(len(borders) + 1)
-    low, high, cuts = (F.get(_longs([v(held[k]) if k in held else 0 for k in of]), part.cast("int")).cast("decimal(20,0)")
-                       for v in (lambda r: r["low"], lambda r: r["high"], lambda r: -(-r["n"] // rows)))
+    lows, highs, counts = (_longs([v(held[k]) if k in held else 0 for k in of]) for v in (lambda r: r["low"], lambda r: r["high"], lambda r: -(-r["n"] // rows)))
     wide, h = F.lit(str(1 << 63)).cast("decimal(20,0)"), F.col("h").cast("decimal(20,0)")
-    below = F.when(low == high, wide - 1 - h).otherwise(high - F.col("doc_id").cast("decimal(20,0)"))
-    size = F.when(low == high, wide * 2).otherwise(high - low + 1)
-    inside = F.floor(below.cast("decimal(21,0)") * cuts.cast("decimal(12,0)") / size.cast("decimal(21,0)")).cast("bigint")
+
+    def numbered(part: Column) -> Column:
+        low, high, cuts = (F.get(x, part.cast("int")).cast("decimal(20,0)") for x in (lows, highs, counts))
+        below = F.when(low == high, wide - 1 - h).otherwise(high - F.col("doc_id").cast("decimal(20,0)"))
+        size = F.when(low == high, wide * 2).otherwise(high - low + 1)
+        inside = F.floor(below.cast("decimal(21,0)") * cuts.cast("decimal(12,0)") / size.cast("decimal(21,0)")).cast("bigint")
+        return part * F.lit(1 << 40) + inside
     nulls = F.lit(1 << 60) - F.floor(F.col("h") / F.lit(((1 << 63) - 1) // max(1, -(-n // rows))))
-    return F.when(F.col("doc_id").isNull(), nulls).otherwise(part * F.lit(1 << 40) + inside)
+    return F.when(F.col("doc_id").isNull(), nulls).otherwise(once(part, numbered))
 
 
 def with_next(docs: DataFrame, prepare, carried: list[str], rows: int = ROWS) -> DataFrame:
